@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.structs import let, record
+
 # How an amount looks in a range text (sign and currency mark, number, unit suffix).
 # A run of four or more digits is taken whole; then digits grouped by three; then a short number.
 AMOUNT = r"-?\s*R?\$?\s*(\d{4,}(?:[.,]\d+)?|\d{1,3}(?:[.,]\d{3})+(?:[.,]\d+)?|\d{1,3}(?:[.,]\d+)?)"
@@ -32,7 +34,7 @@ def parse_amount(raw: Column, suffix: Column) -> Column:
     With both separators the later one marks decimals. A single kind of separator groups thousands when all
     later groups have three digits and the first group is not a lone zero; otherwise it marks decimals.
     """
-    text = F.regexp_replace(raw, r"\s", "")
+    text = raw
     has_dot, has_comma = text.contains("."), text.contains(",")
     comma_is_last = F.instr(F.reverse(text), ",") < F.instr(F.reverse(text), ".")
     grouped = text.rlike(r"^(?!-?0[.,])[^.,]*([.,][^.,]{3})+$")
@@ -42,11 +44,9 @@ def parse_amount(raw: Column, suffix: Column) -> Column:
         .when(grouped, F.translate(text, ".,", ""))
         .otherwise(F.translate(text, ",", "."))
     )
-    factor = F.lit(1.0)
-    key = F.lower(F.trim(F.coalesce(suffix, F.lit(""))))
-    for name, value in MULTIPLIERS.items():
-        factor = F.when(key == name, F.lit(value)).otherwise(factor)
-    return F.when(text != "", plain.try_cast("double") * factor)
+    factors = F.create_map(*[F.lit(x) for pair in MULTIPLIERS.items() for x in pair])
+    factor = F.coalesce(F.try_element_at(factors, F.lower(F.trim(suffix))), F.lit(1.0))
+    return plain.try_cast("double") * factor
 
 
 def amounts_in(text: Column, literal: bool = True) -> Column:
@@ -77,9 +77,10 @@ def amounts_in(text: Column, literal: bool = True) -> Column:
 
 def first_range(text: Column, literal: bool = True) -> Column:
     """struct<low, high> of the first two amounts; one amount counts twice; none gives null."""
-    amounts = amounts_in(text, literal)
-    low = F.get(amounts, F.lit(0))
-    return F.when(
-        low.isNotNull(),
-        F.struct(low.alias("low"), F.coalesce(F.get(amounts, F.lit(1)), low).alias("high")),
-    )
+
+
+    def ends(amounts: Column) -> Column:
+        low = F.get(amounts, F.lit(0))
+        return F.when(low.isNotNull(), record(low=low, high=F.coalesce(F.get(amounts, F.lit(1)), low)))
+
+    return let(amounts_in(text, literal), ends)

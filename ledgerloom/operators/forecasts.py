@@ -10,6 +10,7 @@ from ledgerloom.functions import variants as V
 from ledgerloom.functions.identity import strip
 from ledgerloom.functions.names import file_name_of, prediction_name, safe_for_names
 from ledgerloom.functions.numbers import first_range
+from ledgerloom.functions.structs import compute_once, let
 from ledgerloom.operators.joins import lookup_join
 
 # Fixed value: a code fence opening or closing a block
@@ -19,23 +20,19 @@ _FENCE = r"(?mdU)^\s*```(?:json)?\s*|\s*```\s*$"
 def strip_wrapping(text: Column) -> Column:
     """Text without code fences and without anything before its first `{` or `[`."""
     bare = strip(F.regexp_replace(text, _FENCE, ""))
-    start = F.regexp_instr(bare, F.lit(r"[{\[]"))
-    return F.when(start > 1, F.substr(bare, start)).otherwise(bare)
+    return let(bare, lambda b: F.coalesce(F.nullif(F.regexp_substr(b, F.lit(r"(?s)[{\[].*")), F.lit("")), b))
 
 
 def clean_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     """Add `payload` (VARIANT object, taken out of a one-element list) and `error`; one of the two is null."""
-    return (
-        responses.withColumn("__json", F.try_parse_json(strip_wrapping(F.col(text))))
-        .withColumn("payload", V.unwrap_single(F.col("__json")))
-        .withColumn(
-            "error",
-            F.when(F.col("__json").isNull(), "response is not valid JSON").when(
-                F.col("payload").isNull(), "response is not a JSON object"
-            ),
-        )
-        .drop("__json")
-    )
+    parsed = compute_once(responses, "__json", F.try_parse_json(strip_wrapping(F.col(text))))
+    unwrapped = compute_once(parsed, "payload", V.unwrap_single(F.col("__json")))
+    return unwrapped.withColumn(
+        "error",
+        F.when(F.col("__json").isNull(), "response is not valid JSON").when(
+            F.col("payload").isNull(), "response is not a JSON object"
+        ),
+    ).drop("__json")
 
 
 def payload_columns(payload: Column) -> dict[str, Column]:
@@ -64,7 +61,8 @@ def result_cell(outcome: Column, viability: Column) -> Column:
 
 def payload_fields(responses: DataFrame, payload: str = "payload") -> DataFrame:
     """Add the four fields and `resultado_celula`."""
-    with_fields = responses.withColumns(payload_columns(F.col(payload)))
+    fields = F.struct(*[c.alias(n) for n, c in payload_columns(F.col(payload)).items()])
+    with_fields = compute_once(responses, "__fields", fields).select(*responses.columns, "__fields.*")
     return with_fields.withColumn("resultado_celula", result_cell(F.col("resultado"), F.col("viabilidade")))
 
 
@@ -85,9 +83,16 @@ def prediction_file_name(inst_hash: Column, provider: Column, model: Column, fai
     return F.concat(inst_hash, F.lit("_"), provider, F.lit("-"), safe_for_names(model), ending)
 
 
-def real_range(raw: Column, factor: Column, literal: bool = True) -> Column:
-    """struct<texto, minimo, maximo>: the range divided by the factor, or the reason why there is none."""
-    found = first_range(raw, literal)
+def with_range(predictions: DataFrame, literal: bool = True) -> DataFrame:
+    """Add `faixa`, the amounts of the range text as struct<low, high>."""
+    return compute_once(predictions, "faixa", first_range(F.col("faixa_bruta"), literal))
+
+
+def real_range(raw: Column, found: Column, factor: Column) -> Column:
+    """struct<texto, minimo, maximo>: the range divided by the factor, or the reason why there is none.
+
+    `found` is the struct<low, high> of the amounts in `raw`.
+    """
     note = F.concat(F.lit(" [bruto: "), raw, F.lit("]"))
     low, high = found["low"] / F.nullif(factor, F.lit(0.0)), found["high"] / F.nullif(factor, F.lit(0.0))
     no_factor = factor.isNull() | (factor == 0)
@@ -111,8 +116,8 @@ def deanonymize_range(predictions: DataFrame, identities: DataFrame, literal: bo
     `identities` has one row per hash with Fator_Escalonamento (see `latest_identity`).
     """
     factors = identities.select("inst_hash", F.col("Fator_Escalonamento").alias("__factor"))
-    joined = lookup_join(predictions, factors, ["inst_hash"])
-    ranged = joined.withColumn("__range", real_range(F.col("faixa_bruta"), F.col("__factor"), literal))
+    joined = lookup_join(with_range(predictions, literal), factors, ["inst_hash"])
+    ranged = joined.withColumn("__range", real_range(F.col("faixa_bruta"), F.col("faixa"), F.col("__factor")))
     return ranged.select(
         *predictions.columns, F.col("__range.texto").alias("faixa_real"), "__range.minimo", "__range.maximo"
     )

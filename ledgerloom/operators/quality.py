@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EXACT = "decimal(28,10)"  # exact sums: the result does not depend on the order of the rows
+_EXACT = "decimal(28,6)"  # exact sums: the result does not depend on the order of the rows
 
 
 def balance_qc(facts: DataFrame, root_only: bool = False, tolerance: float = 0.01) -> DataFrame:

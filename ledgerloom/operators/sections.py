@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from ledgerloom import layout
 from ledgerloom.functions import variants as V
 from ledgerloom.functions.names import source_name
-from ledgerloom.functions.structs import record
+from ledgerloom.functions.structs import compute_once, record
 
 
 def with_record(extractions: DataFrame, text: str = "text") -> DataFrame:
     """Add `readable` and `record`: the parsed object, taken out of a one-element list; null for other shapes."""
-    return (
-        extractions.withColumn("__json", F.try_parse_json(F.col(text)))
-        .withColumn("readable", F.col("__json").isNotNull())
-        .withColumn("record", V.unwrap_single(F.col("__json")))
-        .drop("__json")
-    )
+    parsed = compute_once(extractions, "__json", F.try_parse_json(F.col(text)))
+    unwrapped = compute_once(parsed, "record", V.unwrap_single(F.col("__json")))
+    return unwrapped.withColumn("readable", F.col("__json").isNotNull()).drop("__json")
 
 
 def context_columns(file_name: Column) -> list[Column]:
@@ -72,8 +69,7 @@ def schema_drift(extractions: DataFrame, key: str = "file_name") -> DataFrame:
         return F.transform(items, lambda i: record(tipo=F.lit(label), secao=i["secao"], campo=i["campo"]))
 
     return (
-        extractions.filter(F.col("record").isNotNull())
-        .withColumn("__present", present)
+        compute_once(extractions.filter(F.col("record").isNotNull()), "__present", present)
         .select(
             key,
             F.explode(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom import layout, sinks
 from ledgerloom.functions.names import filing_name
 from ledgerloom.operators.contract import with_status
-from ledgerloom.operators.flatten import flatten_accounts, parse_documents
+from ledgerloom.operators.flatten import flatten_accounts
 from ledgerloom.operators.quality import balance_qc
 from ledgerloom.operators.replacement import dedup_replacement, filing_keys
 from ledgerloom.sources.documents import decode_documents, read_files
@@ -37,8 +37,7 @@ def filing_tables(
 ) -> FilingTables:
     """The three results of (path, file_name, text), all lazy."""
     judged = with_status(documents, rules)
-    valid = parse_documents(judged.filter(F.col("status") == "valid"))
-    facts = flatten_accounts(valid, rules)
+    facts = flatten_accounts(judged.filter(F.col("status") == "valid"), rules)
     return FilingTables(
         status=judged.select(F.col("file_name").alias("arquivo"), "status", "mensagem"),
         facts=facts,
@@ -62,11 +61,11 @@ def run(
     documents = decode_documents(read_files(spark, source))
     judged = with_status(select_filings(documents, unified), rules)
     stage = f"{target}/judged"
-    judged.drop("violations", "readable").write.mode("overwrite").parquet(stage)
+    judged.drop("text", "violations", "readable").write.mode("overwrite").parquet(stage)
     stored = spark.read.parquet(stage)
     status = stored.select(F.col("file_name").alias("arquivo"), "status", "mensagem")
     sinks.write_csv(status, f"{target}/runtime_log")
-    facts = flatten_accounts(parse_documents(stored.filter(F.col("status") == "valid")), rules)
+    facts = flatten_accounts(stored.filter(F.col("status") == "valid"), rules)
     sinks.write_silver(facts, f"{target}/silver")
     silver = silver_scan(spark, f"{target}/silver")
     balance = balance_qc(silver)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom import layout
 from ledgerloom.functions.names import file_name_of
 from ledgerloom.operators.contract import with_status
-from ledgerloom.operators.flatten import flatten_accounts, parse_documents
+from ledgerloom.operators.flatten import flatten_accounts
 from ledgerloom.sources.documents import BINARY_FILE_SCHEMA, decode_documents
 
 
@@ -36,7 +36,7 @@ def load_new_filings(
 ) -> StreamingQuery:
     """Append the facts of new valid filings and stop. Stateless, so no watermark; exactly once by the checkpoint."""
     judged = with_status(decode_documents(new_files(spark, folder)), rules)
-    facts = flatten_accounts(parse_documents(judged.filter(F.col("status") == "valid")), rules)
+    facts = flatten_accounts(judged.filter(F.col("status") == "valid"), rules)
     return (
         facts.writeStream.format("parquet")
         .partitionBy("periodo", "cnpj")
