@@ -93,7 +93,8 @@ def latest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.pivoted_texts(_ranged(spark, sf_dir), order="path")
+    fields = ("inst_hash", "provider", "model", "path", "resultado_celula", "faixa_real")
+    return SC.pivoted_texts(_ranged(spark, sf_dir).select(*fields), order="path")
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:

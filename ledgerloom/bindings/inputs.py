@@ -216,7 +216,7 @@ def gzip_bytes(content: Column) -> Column:
     def compress(batch: pd.Series) -> pd.Series:
         return batch.map(lambda c: None if c is None else gzip.compress(c, mtime=0))
 
-    return F.pandas_udf(compress, T.BinaryType(), F.PandasUDFType.SCALAR)(content)
+    return F.pandas_udf(compress, T.BinaryType())(content)
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
