@@ -9,7 +9,8 @@ from ledgerloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests")
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    session = local_session(8, "tests", **{"spark.sql.warehouse.dir": warehouse})
     yield session
     session.stop()
