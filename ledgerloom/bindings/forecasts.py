@@ -13,6 +13,7 @@ from ledgerloom.functions.numbers import amounts_in, first_range
 from ledgerloom.operators import forecasts as FC
 from ledgerloom.operators import scorecard as SC
 from ledgerloom.operators.joins import lookup_join
+from ledgerloom.operators.summary import prediction_stats as prediction_stats_of
 
 # --- queries ---------------------------------------------------------------------------------------------------
 
@@ -126,6 +127,11 @@ def prediction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FC.prediction_status(FC.clean_responses(responses), keep=("event_id",))
 
 
+def prediction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = I.response_texts(spark, sf_dir).withColumnRenamed("event_type", "provider")
+    return prediction_stats_of(FC.prediction_status(FC.clean_responses(responses), keep=("provider", "model")))
+
+
 QUERIES = {
     "parse_prediction_files": parse_prediction_files,
     "clean_responses": clean_responses,
@@ -140,6 +146,7 @@ QUERIES = {
     "accuracy_tally": accuracy_tally,
     "scorecard": _card,
     "prediction_status": prediction_status,
+    "prediction_stats": prediction_stats,
 }
 
 # --- the same in SQL -------------------------------------------------------------------------------------------
@@ -288,4 +295,8 @@ ORACLES = {
         SELECT event_id, inst_hash || '_' || kind || '-' || model
                || CASE WHEN error IS NULL THEN '.json' ELSE '.error.json' END AS arquivo,
                error IS NULL AS success, error FROM spans""",
+    "prediction_stats": f"""WITH {_EVENTS}
+        SELECT kind AS provider, model, count(*) FILTER (WHERE error IS NULL) AS sucessos,
+               count(*) FILTER (WHERE error IS NOT NULL) AS falhas
+        FROM spans GROUP BY kind, model""",
 }

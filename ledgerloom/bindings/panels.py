@@ -254,6 +254,11 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.run_summary(I.panel(spark, sf_dir), *I.EARLY_CUTOFF)
 
 
+def processing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _records(spark, sf_dir).select(F.substring("file_name", 13, 8).alias("cnpj8"), "readable")
+    return summary.processing_stats(results)
+
+
 def next_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.next_period(I.panel(spark, sf_dir))
 
@@ -328,6 +333,7 @@ QUERIES = {
     "anonymized_panel": anonymized_panel,
     "audit_mapping": audit_mapping,
     "run_summary": run_summary,
+    "processing_stats": processing_stats,
     "next_period": next_period,
     "history_payload": _histories,
     "user_message": user_message,
@@ -433,6 +439,11 @@ ORACLES = {
                (SELECT count(DISTINCT CNPJ8) FROM panel) - (SELECT count(DISTINCT CNPJ8) FROM kept)
                  AS instituicoes_sem_dados,
                (SELECT count(*) FROM panel) AS linhas_antes_corte, (SELECT count(*) FROM kept) AS linhas_apos_corte""",
+    "processing_stats": f"""WITH {_RECORDS},
+        e AS (SELECT cnpj8, count(*) AS n, sum(CASE WHEN readable THEN 1 ELSE 0 END) AS m FROM records GROUP BY cnpj8)
+        SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(m) AS BIGINT) AS processados, CAST(sum(n - m) AS BIGINT) AS falhas,
+               count(*) FILTER (WHERE n = m) AS instituicoes_ok, count(*) FILTER (WHERE n <> m) AS instituicoes_com_falhas
+        FROM e""",
     "next_period": f"""WITH {_PANEL},
         last_one AS (SELECT Ano, Mes FROM panel ORDER BY Ano DESC, Mes DESC LIMIT 1)
         SELECT CASE WHEN Mes <= 6 THEN Ano || '-S2' ELSE (Ano + 1) || '-S1' END AS semestre_alvo FROM last_one""",

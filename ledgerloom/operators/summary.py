@@ -22,6 +22,26 @@ def run_summary(panel: DataFrame, year: int, semester: int, entity: str = "CNPJ8
     )
 
 
+def processing_stats(results: DataFrame, entity: str = "cnpj8", ok: str = "readable") -> DataFrame:
+    """One row of counters over per-document results: documents processed and failed, institutions with and without failures."""
+    per_entity = results.groupBy(entity).agg(F.count("*").alias("n"), F.count_if(F.col(ok)).alias("m"))
+    zero = F.lit(0)
+    return per_entity.agg(
+        F.coalesce(F.sum("n"), zero).alias("total"),
+        F.coalesce(F.sum("m"), zero).alias("processados"),
+        F.coalesce(F.sum(F.col("n") - F.col("m")), zero).alias("falhas"),
+        F.count_if(F.col("n") == F.col("m")).alias("instituicoes_ok"),
+        F.count_if(F.col("n") != F.col("m")).alias("instituicoes_com_falhas"),
+    )
+
+
+def prediction_stats(status: DataFrame) -> DataFrame:
+    """Successes and failures per provider and model."""
+    return status.groupBy("provider", "model").agg(
+        F.count_if(F.col("success")).alias("sucessos"), F.count_if(~F.col("success")).alias("falhas")
+    )
+
+
 def parse_filing_names(files: DataFrame, path: str = "path") -> DataFrame:
     """Add style, cnpj, base, submission of filing names; style is null for a name outside the patterns."""
     name = file_name_of(F.col(path))
