@@ -215,7 +215,7 @@ def cell_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         *[
             A.cell_noise(F.col("inst_hash"), F.col("o_orderpriority"), c, _S).alias(c)
-            for c in layout.NOISE_COLUMNS[:2]
+            for c in layout.NOISE_COLUMNS
         ],
     )
 
@@ -414,7 +414,7 @@ ORACLES = {
         SELECT inst_hash, {factor('inst_hash')} AS fator FROM h""",
     "cell_noise": f"""
         WITH h AS (SELECT o_orderkey, o_orderpriority, {entity_hash(pad8('o_custkey'))} AS inst_hash FROM orders)
-        SELECT o_orderkey, {', '.join(f"{noise('inst_hash', 'o_orderpriority', c)} AS {c}" for c in layout.NOISE_COLUMNS[:2])}
+        SELECT o_orderkey, {', '.join(f"{noise('inst_hash', 'o_orderpriority', c)} AS {c}" for c in layout.NOISE_COLUMNS)}
         FROM h""",
     "scale_by_entity": f"""WITH {_SCALED}
         SELECT inst_hash, Semestre_Ref, {', '.join(layout.ACCOUNT_COLUMNS)} FROM scaled""",
