@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from ledgerloom import layout
 from ledgerloom.functions.identity import zero_pad
 from ledgerloom.functions.periods import semester_label
-from ledgerloom.functions.ratios import safe_divide
-from ledgerloom.operators.anonymize import Settings
+from ledgerloom.functions.ratios import round_to, safe_divide
+from ledgerloom.operators.anonymize import Settings, entity_factor
 
 SALT = "sal-de-exemplo-0123456789"
 SECRET = "segredo-de-exemplo"
@@ -510,9 +510,6 @@ def _user_semesters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping rows per user and semester; late rows may lack the CNPJ."""
-    from ledgerloom.functions.ratios import round_to
-    from ledgerloom.operators.anonymize import entity_factor
-
     u = _user_semesters(spark, sf_dir)
     hashed = F.sha2(F.concat(F.lit(SALT + "::"), F.col("CNPJ8")), 256)
     cnpj = F.when(F.col("late") & (F.col("top") > 250), None).when(F.col("late") & (F.col("top") > 200), "").otherwise(

@@ -34,15 +34,14 @@ def parse_amount(raw: Column, suffix: Column) -> Column:
     With both separators the later one marks decimals. A single kind of separator groups thousands when all
     later groups have three digits and the first group is not a lone zero; otherwise it marks decimals.
     """
-    text = raw
-    has_dot, has_comma = text.contains("."), text.contains(",")
-    comma_is_last = F.instr(F.reverse(text), ",") < F.instr(F.reverse(text), ".")
-    grouped = text.rlike(r"^(?!-?0[.,])[^.,]*([.,][^.,]{3})+$")
+    has_dot, has_comma = raw.contains("."), raw.contains(",")
+    comma_is_last = F.instr(F.reverse(raw), ",") < F.instr(F.reverse(raw), ".")
+    grouped = raw.rlike(r"^(?!-?0[.,])[^.,]*([.,][^.,]{3})+$")
     plain = (
-        F.when(has_dot & has_comma & comma_is_last, F.translate(text, ",.", "."))
-        .when(has_dot & has_comma, F.translate(text, ",", ""))
-        .when(grouped, F.translate(text, ".,", ""))
-        .otherwise(F.translate(text, ",", "."))
+        F.when(has_dot & has_comma & comma_is_last, F.translate(raw, ",.", "."))
+        .when(has_dot & has_comma, F.translate(raw, ",", ""))
+        .when(grouped, F.translate(raw, ".,", ""))
+        .otherwise(F.translate(raw, ",", "."))
     )
     factors = F.create_map(*[F.lit(x) for pair in MULTIPLIERS.items() for x in pair])
     factor = F.coalesce(F.try_element_at(factors, F.lower(F.trim(suffix))), F.lit(1.0))

@@ -11,13 +11,13 @@ _NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 def number(df: DataFrame, name: str) -> Column:
     """Column as double; anything that is not a number is null. Typed columns skip the text check."""
     column = F.col(f"`{name}`")
-    if isinstance_text(df, name):
+    if is_text_column(df, name):
         return F.when(column.rlike(_NUMBER_TEXT), column.try_cast("double"))
     value = column.cast("double")
     return F.when(~F.isnan(value), value)
 
 
-def isinstance_text(df: DataFrame, name: str) -> bool:
+def is_text_column(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.simpleString().startswith(("string", "varchar", "char"))
 
 

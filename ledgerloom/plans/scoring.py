@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import sinks
 from ledgerloom.operators.forecasts import clean_responses, payload_fields
 from ledgerloom.operators.scorecard import accuracy_tally, scorecard
-from ledgerloom.sources.tables import mapping_scan, panel_scan, read_prediction_files
+from ledgerloom.sources.tables import mapping_scan, read_prediction_files
 
 
 def usable_predictions(files: DataFrame) -> DataFrame:
@@ -35,5 +35,3 @@ def panel_like(spark: SparkSession, path: str) -> DataFrame:
     """Year and month of a dataset CSV, whatever its other columns."""
     return spark.read.option("header", "true").option("sep", ";").csv(path).select("Ano", "Mes")
 
-
-__all__ = ["panel_like", "panel_scan", "run", "usable_predictions"]
