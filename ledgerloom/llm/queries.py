@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, host_rules, licences, line_dedup, mixing
+from ledgerloom.llm import exact_dedup, host_rules, licences, line_dedup, min_max_dedup, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return min_max_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.source_rates(docs))
@@ -42,6 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_min_max_dedup": op1_min_max_dedup,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_licence_scan": op3_licence_scan,
     "op6_host_rules": op6_host_rules,
