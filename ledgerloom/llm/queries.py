@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, host_rules, licences, line_dedup, min_max_dedup, mixing
+from ledgerloom.llm import (
+    exact_dedup,
+    host_rules,
+    licences,
+    line_dedup,
+    min_max_dedup,
+    mixing,
+    piece_transducer,
+    quality_mil,
+)
+
+PIECE_MODEL = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +50,17 @@ def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_mil.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_transducer.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return encoded.select("doc_id", "n_ids", "ids", "round_trip")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return cut.select(
@@ -51,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licence_scan": op3_licence_scan,
     "op6_host_rules": op6_host_rules,
     "op7_stream_dedup": op7_stream_dedup,
+    "op8_attention_mil": op8_attention_mil,
+    "op9_piece_transducer": op9_piece_transducer,
     "op10_line_dedup": op10_line_dedup,
 }
 
