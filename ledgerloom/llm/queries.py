@@ -15,6 +15,7 @@ from ledgerloom.llm import (
     line_dedup,
     min_max_dedup,
     mixing,
+    pii_segments,
     piece_transducer,
     quality_mil,
 )
@@ -39,6 +40,14 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_segments.find(docs, pii_segments.train(docs))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -72,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_max_dedup": op1_min_max_dedup,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_licence_scan": op3_licence_scan,
+    "op5_pii_segments": op5_pii_segments,
     "op6_host_rules": op6_host_rules,
     "op7_stream_dedup": op7_stream_dedup,
     "op8_attention_mil": op8_attention_mil,
