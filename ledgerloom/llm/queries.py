@@ -18,6 +18,7 @@ from ledgerloom.llm import (
     pii_segments,
     piece_transducer,
     quality_mil,
+    substring_dedup,
 )
 
 PIECE_MODEL = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -40,6 +41,11 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_pii_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii_segments.find(docs, pii_segments.train(docs))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_max_dedup": op1_min_max_dedup,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_licence_scan": op3_licence_scan,
+    "op4_fm_index_dedup": op4_fm_index_dedup,
     "op5_pii_segments": op5_pii_segments,
     "op6_host_rules": op6_host_rules,
     "op7_stream_dedup": op7_stream_dedup,
