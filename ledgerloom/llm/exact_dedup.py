@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import BLANKS, packed, unpacked, whole_text
+from ledgerloom.llm.text import BLANKS, packed, unpack, whole_text
 from ledgerloom.session import materialise, new_table_path
 
 STATE_CONF = {
@@ -32,7 +32,6 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -157,4 +156,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     once = of(stay.filter("rows = 1").drop("rows")).select("row")
     repeated = of(stay.filter("rows > 1").drop("rows")).groupBy("digest").agg(F.first("row").alias("row")).select("row")
-    return once.unionByName(repeated).select(*unpacked(columns))
+    return unpack(once.unionByName(repeated), columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import BLANK_CHARS, ascii_lower, bind, packed, row_key, two_hashes, unpacked, whole_text
+from ledgerloom.llm.text import BLANK_CHARS, ascii_lower, bind, packed, row_key, two_hashes, unpack, whole_text
 from ledgerloom.session import materialise
 
 
@@ -76,6 +76,4 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
         ),
     )
     text = F.when(F.size(gone) == 0, F.col("text")).otherwise(kept)
-    return joined.select(
-        *unpacked(columns, text=text, n_lines=F.size(lines).cast("long"), n_dropped=F.size(gone).cast("long"))
-    )
+    return unpack(joined, columns, text=text, n_lines=F.size(lines).cast("long"), n_dropped=F.size(gone).cast("long"))

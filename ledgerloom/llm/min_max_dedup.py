@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.text import packed, unpacked
+from ledgerloom.llm.text import packed, unpack
 from ledgerloom.llm.word_arrays import Words, chunks, mix, runs
 from ledgerloom.session import materialise
 
@@ -191,4 +191,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     gone = materialise(gone, "near-copies")
     base = packed(docs)
-    return base.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*unpacked(columns))
+    return unpack(base.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import packed, unpacked, whole_text
+from ledgerloom.llm.text import packed, unpack, whole_text
 from ledgerloom.session import materialise
 
 HEX = 13  # digits of a digest that make a number: 52 bits
@@ -84,4 +84,4 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
         "shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), identity, F.col("copy").cast("string")))
     )
     dealt = keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
-    return dealt.select(*unpacked(columns, copy=F.col("copy"), shuffle_key=F.col("shuffle_key")))
+    return unpack(dealt, columns, copy=F.col("copy"), shuffle_key=F.col("shuffle_key"))

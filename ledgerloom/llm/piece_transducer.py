@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import packed, unpacked
+from ledgerloom.llm.text import packed, unpack
 
 MARK = "▁"
 MOST_MODEL_BYTES = 64 << 20
@@ -351,7 +351,7 @@ def encode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
     kind = f"row {base.schema['row'].dataType.simpleString()}, ids array<int>, same boolean"
     done = base.mapInArrow(run, kind)
     results = {"ids": F.col("ids"), "n_ids": F.size("ids").cast("long")}
-    return done.select(*unpacked(columns, **results, **({"round_trip": F.col("same")} if check else {})))
+    return unpack(done, columns, **results, **({"round_trip": F.col("same")} if check else {}))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -366,4 +366,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     base = encoded.select(F.struct(*[encoded[f"`{c}`"] for c in columns]).alias("row"), encoded["ids"])
     done = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, made string")
-    return done.select(*unpacked(columns, text=F.col("made")))
+    return unpack(done, columns, text=F.col("made"))

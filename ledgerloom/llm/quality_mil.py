@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import packed, unpacked
+from ledgerloom.llm.text import packed, unpack
 from ledgerloom.llm.word_arrays import IS_BLANK, Words, chunks
 
 PASSAGE = 64
@@ -208,4 +208,4 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     base = packed(docs).select("row", "text")
     scored = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, own_score double")
     predicted = (F.col("own_score") >= THRESHOLD).cast("int")
-    return scored.select(*unpacked(columns, score=F.col("own_score"), predicted=predicted))
+    return unpack(scored, columns, score=F.col("own_score"), predicted=predicted)

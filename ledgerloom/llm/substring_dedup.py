@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.fm_index import Index, repeated_windows
-from ledgerloom.llm.text import packed, row_key, unpacked
+from ledgerloom.llm.text import packed, row_key, unpack
 from ledgerloom.llm.word_arrays import Words, chunks, mix, runs
 from ledgerloom.session import materialise
 
@@ -258,4 +258,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     kind = base.schema["row"].dataType.simpleString()
     cut = joined.mapInArrow(_cut, f"row {kind}, kept_text string, before bigint, removed bigint")
     results = {"text": F.col("kept_text"), "n_words": F.col("before"), "n_removed": F.col("removed")}
-    return cut.select(*unpacked(columns, **results))
+    return unpack(cut, columns, **results)

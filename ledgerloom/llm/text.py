@@ -43,8 +43,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"], docs["text"], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
 
-def unpacked(names: list[str], **results: Column) -> list[Column]:
-    """The input's columns out of `row`, and the results; a result replaces an input column of its name."""
+def unpack(packed_rows: DataFrame, names: list[str], **results: Column) -> DataFrame:
+    """The input's columns out of `row`, and the results; a result replaces an input column of its name.
+
+    Results are made in a step of their own, so that no input column can be taken for one that they read.
+    """
     new = {k.lower() for k in results}
-    old = [F.col(f"row.`{c}`").alias(c) for c in names if c.lower() not in new]
-    return [*old, *[v.alias(k) for k, v in results.items()]]
+    made = F.struct(F.lit(True).alias("made"), *[v.alias(k) for k, v in results.items()])
+    apart = packed_rows.select(F.col("row").alias("__row"), made.alias("__made"))
+    old = [F.col(f"__row.`{c}`").alias(c) for c in names if c.lower() not in new]
+    return apart.select(*old, *[F.col(f"__made.`{k}`").alias(k) for k in results])
