@@ -9,10 +9,12 @@ NEEDS_ALL_MODELS = {"pivot_predictions", "scorecard", "accuracy_tally", "missing
 
 
 def test_registry_is_complete():
-    assert set(compare.driver.queries()) == set(compare.driver.oracle_sql())
+    without_sql = set(compare.driver.queries()) - set(compare.driver.oracle_sql())
+    assert set(compare.driver.oracle_sql()) <= set(compare.driver.queries())
+    assert all(name.startswith("op") or name == "pipeline" for name in without_sql)
 
 
-@pytest.mark.parametrize("name", list(compare.driver.queries()))
+@pytest.mark.parametrize("name", list(compare.driver.oracle_sql()))
 def test_query_equals_sql(spark, name):
     sf_dir = MEDIUM if name in NEEDS_ALL_MODELS else SMALL
     assert compare.compare(spark, compare.duck(sf_dir), name, sf_dir) == []
