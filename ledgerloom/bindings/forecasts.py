@@ -112,7 +112,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = _truth(spark, sf_dir).select("inst_hash", "Real_Resultado")
-    scored = lookup_join(_predictions(spark, sf_dir), truth, ["inst_hash"], spread="path")
+    scored = lookup_join(_predictions(spark, sf_dir), truth, ["inst_hash"])
     return scored.select(
         "event_id", SC.accuracy(F.col("resultado_celula"), F.col("Real_Resultado")).alias("acuracia")
     )

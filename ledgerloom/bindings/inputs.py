@@ -32,14 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table whose rows become documents.
+    """Columns of a table whose rows become documents, dealt out by its first column.
 
-    A table with fewer splits than cores is spread over them, because building and reading documents is heavy; a
-    large table has splits enough and is left as it is, without a shuffle.
+    A row of a table makes a document of many times its size, so splits that suit the table are too coarse for the
+    documents; rows are therefore dealt out while they are still narrow, at every size alike.
     """
-    df = table(spark, sf_dir, name).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return table(spark, sf_dir, name).select(*columns).repartition(F.col(columns[0]))
 
 
 def pad8(key: Column) -> Column:

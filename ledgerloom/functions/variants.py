@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ def is_number(value: Column) -> Column:
 
 def is_integer(value: Column) -> Column:
     number = F.try_variant_get(value, "$", "double")
-    return is_number(value) & F.coalesce(number == F.rint(number), F.lit(False))
+    finite = F.abs(number) <= sys.float_info.max
+    return is_number(value) & F.coalesce((number == F.rint(number)) & finite, F.lit(False))
 
 
 def given(value: Column) -> Column:

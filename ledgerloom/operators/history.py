@@ -11,26 +11,17 @@ HEADING = "Série Histórica de Dados (JSON):"  # fixed value
 def history_payload(panel: DataFrame, entity: str = "inst_hash") -> DataFrame:
     """(entity, n, payload): chronological JSON array of the entity's rows, without the entity itself.
 
-    A panel holds one row per entity and semester. The rows are first brought to that grain by a partial
-    aggregate, which fails if a semester occurs twice; a list is then as long as the calendar, however the
-    input is skewed.
+    Rows are ordered by year and month, or by `Semestre_Ref` in a panel without these columns; rows without year or
+    month come last. Rows of a semester that occurs more than once are all kept, ordered by their values. The payload
+    is one text per entity by its nature, as long as the entity's rows.
     """
+    names = set(panel.columns)
+    order = ["Ano", "Mes"] if {"Ano", "Mes"} <= names else ["Semestre_Ref"] if "Semestre_Ref" in names else []
     fields = [F.col(f"`{c}`") for c in panel.columns if c != entity]
-    per_semester = panel.groupBy(entity, "Ano", "Mes").agg(
-        F.any_value(F.struct(*fields)).alias("row"), F.count("*").alias("n")
-    )
-    checked = per_semester.select(
-        entity,
-        F.struct(
-            "Ano",
-            "Mes",
-            F.when(F.col("n") > 1, F.raise_error(F.lit("semester occurs twice for one entity"))).otherwise(
-                F.col("row")
-            ).alias("row"),
-        ).alias("item"),
-    )
+    key = [x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    items = panel.select(entity, F.struct(*key, F.struct(*fields).alias("row")).alias("item"))
     ordered = F.transform(F.array_sort(F.collect_list("item")), lambda i: i["row"])
-    return checked.groupBy(entity).agg(
+    return items.groupBy(entity).agg(
         F.count("*").alias("n"), F.to_json(ordered, {"ignoreNullFields": "false"}).alias("payload")
     )
 

@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-_SALT = "__salt"
 
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", spread: str | None = None, salts: int = 16
-) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join many `rows` to a `lookup` that has at most one row per key.
 
-    Rows of one key are spread over `salts` partitions and the lookup row is repeated once per salt, so a hot key
-    is split whatever join the optimiser picks. No hint is given: adaptive execution broadcasts the lookup when
-    its measured size is under the session's threshold. `spread` names the column that tells rows of one key
-    apart; by default all row columns do.
+    No hint and no salt: adaptive execution broadcasts the lookup when its measured size is under the session's
+    threshold, and otherwise splits the partitions of hot keys as finely as their size asks for, which repeats only the
+    lookup rows of those partitions.
     """
-    spread_by = [F.col(f"`{spread}`")] if spread else [F.col(f"`{c}`") for c in rows.columns]
-    salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, _SALT], how).drop(_SALT)
+    return rows.join(lookup, keys, how)

@@ -55,7 +55,7 @@ def dedup_replacement(
         .filter(F.col("__n") > 1)
         .select(*keys_list, F.col("__best.o").alias("__winner"))
     )
-    joined = lookup_join(filings, repeated, keys_list, "left", spread=order)
+    joined = lookup_join(filings, repeated, keys_list, "left")
     return joined.filter(F.col("__winner").isNull() | (F.col("__winner") == F.col(order))).select(*filings.columns)
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom import sinks
 from ledgerloom.functions.periods import parse_cutoff, tag_to_iso
-from ledgerloom.operators.flatten import allowed_dates, flatten_accounts, orphan_refs, parse_documents
+from ledgerloom.operators.flatten import allowed_dates, flatten_accounts, nesting_rejects, orphan_refs, parse_documents
+from ledgerloom.operators.contract import with_status
 from ledgerloom.operators.quality import balance_qc
 from ledgerloom.operators.replacement import dedup_replacement, filing_keys, resume_pending
 from ledgerloom.plans import filings as plan
 from ledgerloom.sources.documents import decode_documents, read_files
-from ledgerloom.sources.tables import csv_typed_scan, silver_scan
-from ledgerloom.streaming.incremental import load_new_filings
+from ledgerloom.sources.tables import csv_headers, csv_typed_scan, silver_scan
 from tests.samples import account, documents, filing
 
 
@@ -68,8 +68,9 @@ def test_nested_accounts(spark):
     docs = documents(spark, filing(BalancoPatrimonial={"contas": [deep]}))
     facts = flatten_accounts(parse_documents(docs, depth=3), None, depth=3).filter("bloco = 'BP'")
     assert rows(facts, "nivel", "escopo") == [("1", "IND"), ("1.1", "IND"), ("1.1.1", "CON"), ("1.2", "IND")]
-    with pytest.raises(Exception, match="nested deeper than 1"):
-        flatten_accounts(parse_documents(docs, depth=1), None, depth=1).collect()
+    shallow = parse_documents(docs, depth=1)
+    assert flatten_accounts(shallow, None, depth=1).count() == 0 and nesting_rejects(shallow, depth=1).count() == 1
+    assert nesting_rejects(parse_documents(docs, depth=3), depth=3).count() == 0
 
 
 def test_balance(spark):
@@ -164,17 +165,6 @@ def test_job_end_to_end(spark, raw, tmp_path):
     spark.sql("DROP TABLE filing_facts")
 
 
-def test_incremental_load(spark, tmp_path):
-    source, facts, state = (str(tmp_path / p) for p in ("in", "facts", "state"))
-    (tmp_path / "in").mkdir()
-    counts = []
-    for name in ("202412-9011-00000001.json", "202412-9011-00000002.json"):
-        (tmp_path / "in" / name).write_text(json.dumps(filing()))
-        load_new_filings(spark, source, facts, state).awaitTermination()
-        counts.append(silver_scan(spark, facts).count())
-    assert counts == [4, 8]
-
-
 def test_csv_keeps_leading_zeros_and_needs_its_columns(spark, tmp_path):
     path = str(tmp_path / "csv")
     sinks.write_csv(spark.createDataFrame([("00012345", 1.5)], "cnpj string, valor double"), path, bom=True)
@@ -182,3 +172,48 @@ def test_csv_keeps_leading_zeros_and_needs_its_columns(spark, tmp_path):
     assert rows(csv_typed_scan(spark, path, schema, required=("cnpj", "valor")), "cnpj", "valor") == [("00012345", 1.5)]
     with pytest.raises(ValueError, match="periodo"):
         csv_typed_scan(spark, path, schema, required=("cnpj", "periodo"))
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """Permuted, missing and extra columns, a byte order mark, quotes, and an empty file."""
+    (tmp_path / "a.csv").write_text("valor,cnpj,periodo\n10.5,00000001,2024-06-30\nx,00000002,2024-06-30\n")
+    (tmp_path / "b.csv").write_text('\ufeffcnpj,novo,valor\n"00000003","a,b",7\n')
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("outra\n1\n")
+    schema = "cnpj string, periodo string, valor double"
+    got = csv_typed_scan(spark, str(tmp_path), schema, required=("cnpj", "valor"), skip=True)
+    assert rows(got, "cnpj", "periodo", "valor") == rows(
+        spark.createDataFrame(
+            [("00000001", "2024-06-30", 10.5), ("00000002", "2024-06-30", None), ("00000003", None, 7.0)], schema
+        ),
+        "cnpj", "periodo", "valor",
+    )
+    with pytest.raises(ValueError, match="cnpj"):
+        csv_typed_scan(spark, str(tmp_path), schema, required=("cnpj", "valor"))
+    files = {r.path[-5:]: r.missing for r in csv_headers(spark, str(tmp_path), required=("cnpj", "valor")).collect()}
+    assert files == {"a.csv": [], "b.csv": [], "d.csv": ["cnpj", "valor"]}
+
+
+def test_contract_doubts_odd_numbers_and_escaped_keys(spark):
+    for broken in ('"NaN"', '"Infinity"', "1e999"):
+        text = json.dumps(filing()).replace('"@unidadeMedida": 1000', f'"@unidadeMedida": {broken}')
+        assert text != json.dumps(filing())
+        assert status_of(spark, text) == "invalid"
+    escaped = json.dumps(filing()).replace('"@nivel": "', '"\\u0040nivel": "x', 1)
+    assert escaped != json.dumps(filing())
+    assert status_of(spark, escaped) == "invalid"
+
+
+def status_of(spark, text):
+    one = spark.createDataFrame([("202412-9011-00000001.json", text)], "file_name string, text string")
+    return with_status(one).first().status
+
+
+def test_balance_survives_a_huge_amount(spark):
+    facts = spark.createDataFrame(
+        [("1", "p", "BP", "IND", "1", 1e25), ("1", "p", "BP", "IND", "2", 1.0), ("2", "p", "BP", "IND", "1", 5.0),
+         ("2", "p", "BP", "IND", "2", 3.0)],
+        "cnpj string, periodo string, bloco string, escopo string, nivel string, valor double",
+    )
+    got = {r.cnpj: r["diff"] for r in balance_qc(facts).collect()}
+    assert got == {"1": 1e25, "2": 2.0}

@@ -91,6 +91,7 @@ def test_panel_csv_round_trip(spark, tmp_path):
     panel = panel_rows(spark, {"CNPJ8": "01027058"}, {"CNPJ8": "01027058", "Mes": 6}, {"CNPJ8": "20520298"})
     sinks.write_panel(panel, str(tmp_path / "panel"))
     assert rows(panel_scan(spark, str(tmp_path / "panel" / "*"))) == rows(panel)
+    assert rows(discover_panels(spark, str(tmp_path / "panel")).drop("path")) == rows(panel)
 
 
 def test_only_own_csv_of_a_folder_is_a_panel(spark, tmp_path):
@@ -240,5 +241,7 @@ def test_history(spark):
     )
     got = {r.inst_hash: json.loads(r.payload) for r in history_payload(panel).collect()}
     assert got["h"] == [{"Ano": 2023, "Mes": 12, "v": None}, {"Ano": 2024, "Mes": 6, "v": 1.5}]
-    with pytest.raises(Exception, match="semester occurs twice"):
-        history_payload(panel.union(panel)).collect()
+    twice = {r.inst_hash: (r.n, json.loads(r.payload)) for r in history_payload(panel.union(panel)).collect()}
+    assert twice["h"][0] == 4 and [x["Ano"] for x in twice["h"][1]] == [2023, 2023, 2024, 2024]
+    named = panel.select("inst_hash", F.concat_ws("-S", "Ano", F.col("Mes") / 6).alias("Semestre_Ref"), "v")
+    assert [x["v"] for x in json.loads(history_payload(named).filter("inst_hash = 'h'").first().payload)] == [None, 1.5]

