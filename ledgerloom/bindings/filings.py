@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +159,13 @@ def csv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.csv_typed_scan(spark, path, required=("cnpj", "valor"))
 
 
+def catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as a catalog table."""
+    name = f"facts_{uuid.uuid4().hex}"
+    sinks.write_table(I.line_facts(spark, sf_dir), name)
+    return spark.table(name)
+
+
 def balance_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.balance_qc(_facts(spark, sf_dir))
 
@@ -229,6 +238,7 @@ QUERIES = {
     "orphan_refs": orphan_refs,
     "silver_scan": silver_scan,
     "csv_typed_scan": csv_typed_scan,
+    "catalog_table": catalog_table,
     "balance_qc": balance_qc,
     "balance_qc_root": balance_qc_root,
     "dedup_replacement": dedup_replacement,
@@ -337,3 +347,5 @@ ORACLES = {
         SELECT {pad8('c_custkey')} AS pasta FROM customer
         WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
 }
+
+ORACLES["catalog_table"] = ORACLES["silver_scan"]

@@ -12,6 +12,8 @@ from ledgerloom.functions import variants as V
 from ledgerloom.functions.identity import cnpj8_of
 from ledgerloom.operators import anonymize as A
 from ledgerloom.operators import history, pseudonymize, scorecard, sections, summary
+from ledgerloom.plans.anonymisation import run_pseudonyms
+from ledgerloom.plans.panel import panel_from_extractions
 from ledgerloom.session import new_table_path
 from ledgerloom.sources import tables as T
 
@@ -187,9 +189,59 @@ def panel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.panel_scan(spark, path)
 
 
+def panel_scan_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels with permuted, missing and foreign columns in one folder, next to files that are no panels."""
+    folder = new_table_path(spark, "mixed")
+    panel = I.panel(spark, sf_dir)
+    halves = F.col("Mes") <= 6
+    shuffled = panel.filter(halves).select("Ano", "Mes", *reversed([c for c in panel.columns if c not in ("Ano", "Mes")]))
+    sinks.write_csv(shuffled, f"{folder}/a", ";", bom=True)
+    lacking = panel.filter(~halves).drop("Ident__Auditor_Independente").withColumn("Nova_Coluna", F.lit("x;y"))
+    sinks.write_csv(lacking, f"{folder}/b", ";")
+    sinks.write_csv(I.table(spark, sf_dir, "region"), f"{folder}/c", ";")
+    return T.panel_scan(spark, f"{folder}/*")
+
+
+def panel_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel written per institution and found again."""
+    path = new_table_path(spark, "panels")
+    sinks.write_panel(I.panel(spark, sf_dir), path)
+    return T.discover_panels(spark, path).drop("path")
+
+
+def mapping_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping whose columns are in another order, with one more column."""
+    path = new_table_path(spark, "mapping")
+    key = F.col("c_custkey")
+    mapping = I.table(spark, sf_dir, "customer").select(
+        F.lit("x").alias("Outra"),
+        F.col("c_acctbal").alias("Fator_Escalonamento"),
+        F.col("c_name").alias("Ident__Razao_Social"),
+        I.pad8(key).alias("inst_hash"),
+        F.lit("2024-S1").alias("Semestre_Ref"),
+        F.concat(I.pad8(key), F.lit("000191")).alias("Ident__CNPJ"),
+        *[F.lit(None).cast("double").alias(c) for c in ("Var_%_ROE", "Var_%_Eficiencia", "Var_%_Liquidez", "Var_%_Capitalizacao")],
+    )
+    sinks.write_csv(mapping, path, ";", bom=True)
+    return T.mapping_scan(spark, path)
+
+
+def extraction_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records written per institution and read back."""
+    path = new_table_path(spark, "extractions")
+    texts = I.extraction_texts(spark, sf_dir)
+    sinks.write_extractions(texts.withColumn("CNPJ8", F.substring("file_name", 13, 8)), path)
+    stored = spark.read.schema("file_name string, text string, CNPJ8 string").json(path)
+    return sections.with_record(stored).select("CNPJ8", "file_name", "readable")
+
+
+def one_institution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = panel_from_extractions(_records(spark, sf_dir), only="00000042")
+    return panel.groupBy("CNPJ8").agg(F.count(F.lit(1)).alias("linhas"))
+
+
 def semester_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = A.semester_cutoff(I.panel(spark, sf_dir), *I.CUTOFF)
-    return kept.select("CNPJ8", "Semestre_Ref", "Contas__Ativo_Total")
+    return A.semester_cutoff(I.panel(spark, sf_dir), *I.CUTOFF)
 
 
 def cutoff_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,6 +331,13 @@ def pseudonymize_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize.pseudonymize(_plain_facts(spark, sf_dir), I.SALT, I.SECRET)
 
 
+def pseudonym_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outputs of the job written as CSV; the first read back."""
+    path = new_table_path(spark, "pseudonyms")
+    run_pseudonyms(_plain_facts(spark, sf_dir), f"{path}/out", f"{path}/private", I.SALT, I.SECRET)
+    return T.csv_typed_scan(spark, f"{path}/out", "inst_hash string, id bigint, valor double")
+
+
 def pseudonymize_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize.pseudonymize(_plain_facts(spark, sf_dir), I.SALT, I.SECRET, noise=0.02, noise_key=["id"])
 
@@ -321,6 +380,11 @@ QUERIES = {
     "unwrap_singleton": unwrap_singleton,
     "schema_drift": schema_drift,
     "panel_scan": panel_scan,
+    "panel_scan_mixed": panel_scan_mixed,
+    "panel_store": panel_store,
+    "mapping_scan": mapping_scan,
+    "extraction_store": extraction_store,
+    "one_institution": one_institution,
     "semester_cutoff": semester_cutoff,
     "cutoff_excluded": cutoff_excluded,
     "hash_entities": hash_entities,
@@ -338,6 +402,7 @@ QUERIES = {
     "history_payload": _histories,
     "user_message": user_message,
     "pseudonymize_v1": pseudonymize_v1,
+    "pseudonym_csv": pseudonym_csv,
     "pseudonymize_noise": pseudonymize_noise,
     "pseudonym_mapping": pseudonym_mapping,
     "normalize_ids": normalize_ids,
@@ -402,8 +467,20 @@ ORACLES = {
         SELECT event_id, CASE WHEN usable THEN 'Inst ' || user_id END AS nome FROM records""",
     "schema_drift": _drift_sql(),
     "panel_scan": f"WITH {_PANEL} SELECT * FROM panel",
-    "semester_cutoff": f"""WITH {_PANEL}
-        SELECT CNPJ8, Semestre_Ref, Contas__Ativo_Total FROM panel WHERE {_ordinal(I.CUTOFF)}""",
+    "panel_scan_mixed": f"""WITH {_PANEL}
+        SELECT * REPLACE (CASE WHEN Mes <= 6 THEN Ident__Auditor_Independente END AS Ident__Auditor_Independente) FROM panel""",
+    "panel_store": f"WITH {_PANEL} SELECT * FROM panel",
+    "mapping_scan": f"""
+        SELECT {pad8('c_custkey')} AS inst_hash, '2024-S1' AS Semestre_Ref, {pad8('c_custkey')} || '000191' AS Ident__CNPJ,
+               c_name AS Ident__Razao_Social, CAST(c_acctbal AS DOUBLE) AS Fator_Escalonamento,
+               CAST(NULL AS DOUBLE) AS "Var_%_ROE", CAST(NULL AS DOUBLE) AS "Var_%_Eficiencia",
+               CAST(NULL AS DOUBLE) AS "Var_%_Liquidez", CAST(NULL AS DOUBLE) AS "Var_%_Capitalizacao"
+        FROM customer""",
+    "extraction_store": f"""WITH {_RECORDS}
+        SELECT cnpj8 AS CNPJ8, yyyymm || '-9010-' || cnpj8 || '.json' AS file_name, readable FROM records""",
+    "one_institution": f"""WITH {_RECORDS}
+        SELECT cnpj8 AS CNPJ8, count(*) AS linhas FROM records WHERE readable AND cnpj8 = '00000042' GROUP BY cnpj8""",
+    "semester_cutoff": f"WITH {_PANEL} SELECT * FROM panel WHERE {_ordinal(I.CUTOFF)}",
     "cutoff_excluded": f"""WITH {_PANEL}
         SELECT CNPJ8, count(*) AS linhas FROM panel p
         WHERE NOT EXISTS (SELECT 1 FROM panel q WHERE q.CNPJ8 = p.CNPJ8 AND q.{_ordinal(I.EARLY_CUTOFF)})
@@ -454,6 +531,9 @@ ORACLES = {
     "pseudonymize_v1": f"""
         SELECT sha256('{I.SALT}' || {pad8('o_custkey')}) AS inst_hash, o_orderkey AS id,
                o_totalprice * {_PSEUDO_FACTOR} AS valor FROM orders""",
+    "pseudonym_csv": f"""
+        SELECT sha256('{I.SALT}' || {pad8('o_custkey')}) AS inst_hash, o_orderkey AS id,
+               o_totalprice * {_PSEUDO_FACTOR} AS valor FROM orders""",
     "pseudonymize_noise": f"""
         SELECT sha256('{I.SALT}' || {pad8('o_custkey')}) AS inst_hash, o_orderkey AS id,
                o_totalprice * {_PSEUDO_FACTOR}
