@@ -29,7 +29,8 @@ def local_session(cores: int | str = "*", app: str = "ledgerloom", **conf: str)
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder named by the session; only a local session may fall back to its own folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
