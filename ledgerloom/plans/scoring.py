@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import sinks
 from ledgerloom.operators.forecasts import clean_responses, payload_fields
 from ledgerloom.operators.scorecard import accuracy_tally, scorecard
+from ledgerloom.session import materialise
 from ledgerloom.sources.tables import mapping_scan, read_prediction_files
 
 
@@ -21,7 +22,7 @@ def run(
     spark: SparkSession, responses: str, mapping: str, dataset: str, truth: DataFrame, target: str, run_id: str
 ) -> DataFrame:
     """Write the scorecard and its tally below `target/run=<run_id>`."""
-    predictions = usable_predictions(read_prediction_files(spark, responses))
+    predictions = materialise(usable_predictions(read_prediction_files(spark, responses)), "predictions")
     if predictions.isEmpty():
         raise ValueError(f"no usable response in {responses}")
     card = scorecard(predictions, mapping_scan(spark, mapping), panel_like(spark, dataset), truth)
