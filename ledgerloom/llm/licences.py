@@ -20,22 +20,31 @@ from ledgerloom.llm.licence_texts import LICENCES
 
 #: Equivalent spellings, applied in this order to lower-cased text.
 SPELLINGS = (
-    ("\\blicence", "license"),
-    ("\\blicenc", "licens"),
-    ("\\bsub-?licens", "sublicens"),
-    ("\\bcopyleft\\b|\\(c\\)|©", "copyright"),
+    ("licenc", "licens"),
+    ("\\bsub-licens", "sublicens"),
+    ("\\(c\\)|©", "copyright"),
     ("\\bnon-?commercial", "noncommercial"),
-    ("\\bmerchantability\\b", "merchantability"),
     ("https?://", ""),
     ("&", " and "),
-    ("\\bver(?:sion|\\.)?[ \\t]+([0-9])|\\bv\\.?([0-9])", "version $1$2"),
+    ("\\bver(?:sion|\\.)?[ \\t]+([0-9])|\\bv\\.?[ \\t]*([0-9])", "version $1$2"),
     ("\\bcc[- ]by", "cc by"),
     ("\\bhonour", "honor"),
     ("\\bfavour", "favor"),
     ("\\borganis", "organiz"),
     ("\\backnowledgement", "acknowledgment"),
 )
-COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*\\b(?:[0-9]{4}|<year>|\\[year\\]|yyyy)[^\\n]*$|(?m)^[^a-z0-9\\n]*all rights reserved[^a-z0-9\\n]*$"
+COPYRIGHT_LINE = (
+    "(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*(?:[0-9]{4}|<year>|\\[year\\]|yyyy)[^\\n]*$"
+    "|^[^a-z0-9\\n]*all rights reserved[^a-z0-9\\n]*$"
+)
+#: Each known text holds one of these in any of its spellings; a text without them needs no canonical form.
+STEMS = ("licen", "permission", "cc0")
+
+
+def may_match(text: Column) -> Column:
+    """Whether a text holds a stem, so that it can equal a known text at all."""
+    low = F.lower(whole_text(text))
+    return F.contains(low, F.lit(STEMS[0])) | F.contains(low, F.lit(STEMS[1])) | F.contains(low, F.lit(STEMS[2]))
 
 
 def canonical(text: Column) -> Column:
@@ -48,6 +57,9 @@ def canonical(text: Column) -> Column:
 
 def known_licences(spark: SparkSession, licences: dict[str, str] = LICENCES) -> DataFrame:
     """licence and digest; the list is short and fixed by the caller."""
+    without = [name for name, body in licences.items() if not any(stem in body.lower() for stem in STEMS)]
+    if without:
+        raise ValueError(f"no stem in {without}; add one that these texts hold in every spelling")
     rows = spark.createDataFrame(list(licences.items()), "licence string, body string")
     return rows.select("licence", F.sha2(canonical(F.col("body")), 256).alias("digest"))
 
@@ -58,15 +70,17 @@ def scan(docs: DataFrame, licences: dict[str, str] = LICENCES) -> DataFrame:
         raise ValueError("the list of known licences is broadcast; at most 10,000 texts are meant")
     known = F.broadcast(known_licences(docs.sparkSession, licences))
     base = packed(docs)
-    # A canonical text has at least as many characters as letters; what is longer than any known text by far can't match.
-    whole = base.select(
-        *row_key(F.col("doc_id"), F.col("text")), "doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")
-    )
+    digest = F.when(may_match(F.col("text")), F.sha2(canonical(F.col("text")), 256))
+    whole = base.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", digest.alias("digest"))
     whole = whole.join(known, "digest", "left").withColumnRenamed("licence", "whole_licence").drop("digest")
-    lines = base.select(
-        *row_key(F.col("doc_id"), F.col("text")), F.posexplode(F.split(whole_text(F.col("text")), "\n", -1)).alias("line_no", "line")
+    numbered = F.transform(
+        F.split(whole_text(F.col("text")), "\n", -1), lambda line, n: F.struct(n.alias("line_no"), line.alias("line"))
+    )
+    some = F.filter(numbered, lambda x: may_match(x["line"]))
+    lines = base.filter(may_match(F.col("text"))).select(
+        *row_key(F.col("doc_id"), F.col("text")), F.explode(some).alias("at")
     )
-    lines = lines.select("row_id", "row_hash", "line_no", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    lines = lines.select("row_id", "row_hash", "at.line_no", F.sha2(canonical(F.col("at.line")), 256).alias("digest"))
     hits = lines.join(known, "digest").select("row_id", "row_hash", "line_no", "licence").distinct()
     found = hits.groupBy("row_id", "row_hash").agg(
         F.count(F.lit(1)).alias("n_licence_lines"), F.array_sort(F.collect_set("licence")).alias("line_licences")
