@@ -5,14 +5,16 @@ Each permutation gives two values of a document, the smallest and the largest, s
 51 bands with a probability of one in a million. Steps:
 
 1. Documents of equal shingle sets fold into one node (an aggregate), so exact copies cost nothing further.
-2. Nodes that share a band are linked to the smallest node of the band. Pairs whose sizes or sketches (a bit of each
-   signature value) rule the threshold out are left; the others are confirmed on full shingle sets.
-3. Bands whose members are still in different components are looked at again: every pair of members of different
-   components, within the bounds of size and sketch, is confirmed likewise. So every pair of a band is either in one
-   component already or is decided on full sets, without all pairs of a large group being made.
+2. Each band has a head: the node of it that shares most bands with most nodes, in a group of copies what they were
+   copied from. Members are laid beside the head; pairs whose sizes or sketches (four bits of each signature value) rule
+   the threshold out are left, the others confirmed on full shingle sets. Members far from the head get a second one.
+3. Links that don't go through a head: nodes close to the same head but in different components are compared on full
+   sets in blocks, which return only the links that connect something; pairs of a band that have no head in common pass
+   the bounds of size and sketch and are then confirmed one by one. So every pair of a band is either in one component
+   already or is decided on full sets, without all pairs of a large group being made.
 4. Connected components of the confirmed links.
 
-The sketch rules out a pair at the threshold with a probability below one in 10 million. All joins are equi-joins on
+The sketch rules out a pair at the threshold with a probability of about one in 10 million. All joins are equi-joins on
 bands or nodes, which adaptive execution splits; nothing is capped and nothing is gathered by group.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing; shorter texts than the shingle
@@ -37,8 +39,10 @@ from ledgerloom.session import materialise
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BAND_ROWS = 128, 5
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
-#: Of 256 sketch bits, a pair of similarity s differs in 128 (1 - s) on average; 32 at the threshold, deviation 5.3.
-MOST_BITS_APART = 70
+#: A sketch has four bits of each signature value. Of the 256 values, a pair of similarity s differs in 240 (1 - s) on
+#: average: in 60 at the threshold, with a deviation of 6.8.
+MOST_APART = 100
+SKETCH_LONGS = 2 * PERMUTATIONS // 16
 
 _rng = np.random.default_rng(75)
 _FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,7 +94,8 @@ def _signed(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[p
         set2 = np.bitwise_xor.reduceat(mix(hashes * _FACTORS[1]), starts) ^ sizes.astype(np.uint64)
     banded = mix(values[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS, -1)) * _BAND_FACTORS[None, :, None]
     banded = mix(banded.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None] * _FACTORS[0])
-    sketch = np.packbits((mix(values) >> np.uint64(63)).astype(np.uint8), axis=0)
+    nibbles = (mix(values) >> np.uint64(60)).reshape(SKETCH_LONGS, 16, -1)
+    sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :, None]).sum(axis=1, dtype=np.uint64)
     return [
         pa.array(set1.view(np.int64)),
         pa.array(set2.view(np.int64)),
@@ -113,17 +118,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _close(a: str, b: str) -> Column:
     """Whether sizes and sketches leave the threshold possible."""
-    bits = [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(PERMUTATIONS // 32)]
-    apart = bits[0] + bits[1] + bits[2] + bits[3]
+    apart = F.lit(0)
+    for i in range(SKETCH_LONGS):
+        differs = F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
+        for shift in (1, 2):  # gather a value's four bits in its lowest one
+            differs = differs.bitwiseOR(F.shiftright(differs, shift))
+        apart = apart + F.bit_count(differs.bitwiseAND(F.lit(0x1111111111111111)))
     small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-    return (100 * small >= PERCENT * large) & (apart <= MOST_BITS_APART)
+    return (100 * small >= PERCENT * large) & (apart <= MOST_APART)
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame) -> DataFrame:
+def _shingles_of(nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """node and its full shingle set, for the nodes given."""
+    texts = base.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
+    return materialise(texts.mapInArrow(_sets, "node bigint, shingles array<bigint>"), "shingle-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs a, b those whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = base.join(nodes, "doc_id").select(F.col("doc_id").cast("long").alias("node"), "text")
-    sets = materialise(texts.mapInArrow(_sets, "node bigint, shingles array<bigint>"), "shingle-sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -132,6 +144,74 @@ def _confirmed(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return materialise(linked.select("a", "b"), "confirmed")
 
 
+def _link_block(block: pa.Table) -> pa.Table:
+    """Links between nodes of a block that have different roots, left against right, decided on full sets.
+
+    Of the links found, as many are returned as connect what they connect; all others follow from these.
+    """
+    left, node, root = (block.column(c).to_numpy() for c in ("left", "node", "root"))
+    sets = [np.asarray(x.values) for x in block.column("shingles")]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    known, word = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(word, minlength=len(known)) > 1  # a shingle of one set alone is shared with none
+    number = np.cumsum(often) - 1
+    bits = np.zeros((len(sets), -(-max(1, int(often.sum())) // 64) * 64), bool)
+    bits[owner[often[word]], number[word[often[word]]]] = True
+    packed_bits = np.packbits(bits, axis=1).view(np.uint64)
+    right = np.flatnonzero(~left)
+    parent = {int(n): int(n) for n in node}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for i in np.flatnonzero(left):
+        shared = np.bitwise_count(packed_bits[right] & packed_bits[i]).sum(axis=1, dtype=np.int64)
+        near = (100 * shared >= PERCENT * (sizes[right] + sizes[i] - shared)) & (root[right] != root[i])
+        for j in right[near]:
+            x, y = find(int(node[i])), find(int(node[j]))
+            if x != y:
+                parent[x] = y
+                links.append((int(node[i]), int(node[j])))
+    ends = list(zip(*links, strict=True)) or [[], []]
+    return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+
+BLOCK = 1000
+
+
+def _links_within(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of a group (head, node) that have different roots.
+
+    All but the members of the group's main root are compared with every member, in blocks of `BLOCK` by `BLOCK`, so
+    neither a task nor the result grows with the square of a group.
+    """
+    rooted = groups.join(roots, "node", "left").select("head", "node", F.coalesce("root", "node").alias("root"))
+    counted = rooted.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("head").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.filter("most < all").select(
+        "head", "main", blocks(F.col("all") - F.col("most")).alias("lefts"), blocks(F.col("all")).alias("rights")
+    )
+    placed = materialise(rooted.join(materialise(main, "mixed-groups"), "head"), "mixed-members")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter("root != main").select(
+        "head", "node", "root", F.lit(True).alias("left"), own("lefts").alias("i"), every("rights").alias("j")
+    )
+    right = placed.select(
+        "head", "node", "root", F.lit(False).alias("left"), own("rights").alias("j"), every("lefts").alias("i")
+    )
+    full = left.unionByName(right).join(sets, "node")
+    return full.groupBy("head", "i", "j").applyInArrow(_link_block, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of documents."""
     base = packed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -142,40 +222,63 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = nodes.withColumn("doc_id", F.col("node"))
     leads = materialise(known.join(heads, ["doc_id", "set1", "set2", "size"]).drop("set1", "set2"), "leads")
     banded = leads.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    shared = materialise(shared.filter("first != last").select("band", "first"), "shared-bands")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+    shared = materialise(shared.filter("a != b").select("band", "n"), "shared-bands")
     members = materialise(banded.join(shared, "band"), "band-members")
 
+    reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
     sketches = leads.select("node", F.struct("size", "sketch").alias("of"))
-    marked = materialise(members.select("node").distinct().join(sketches, "node"), "sketches")
-    first = marked.select(F.col("node").alias("a"), F.col("of").alias("of_a"))
-    other = marked.select(F.col("node").alias("b"), F.col("of").alias("of_b"))
-    pairs = members.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(other, "b").join(first, "a").filter(_close("of_a", "of_b"))
-    links = _confirmed(materialise(pairs.select("a", "b"), "pairs"), base)
+    marked = materialise(reach.join(sketches, "node"), "sketches")
+    ranked = members.select("band", "node").join(marked.select("node", "reach"), "node")
+    ranked = materialise(ranked, "ranked")
+
+    def led(rows: DataFrame, name: str) -> DataFrame:
+        """The member of each band that shares most bands with most nodes: of copies, what they were copied from."""
+        best = rows.groupBy("band").agg(F.max(F.struct("reach", "node")).alias("best"))
+        return materialise(best.select("band", F.col("best.node").alias("head")), name)
+
+    def close_to(rows: DataFrame) -> DataFrame:
+        """Distinct (head, node) that size and sketch leave possible."""
+        one = marked.select(F.col("node").alias("head"), F.col("of").alias("of_a"))
+        two = marked.select("node", F.col("of").alias("of_b"))
+        pairs = rows.filter("node != head").select("head", "node").distinct()
+        pairs = pairs.join(two, "node").join(one, "head").filter(_close("of_a", "of_b"))
+        return materialise(pairs.select("head", "node"), "close")
+
+    first = ranked.join(led(ranked, "first-heads"), "band")
+    close = close_to(first)
+    flagged = first.join(close.withColumn("seen", F.lit(True)), ["head", "node"], "left")
+    flagged = flagged.withColumn("near", F.col("seen").isNotNull() | (F.col("node") == F.col("head")))
+    flagged = materialise(flagged.select("band", "node", "reach", "near"), "flagged")
+    second = flagged.join(led(flagged.filter("NOT near"), "second-heads"), "band")
+    close_again = close_to(second)
+    again = second.join(close_again.withColumn("seen", F.lit(True)), ["head", "node"], "left")
+    again = again.withColumn("near_second", F.col("seen").isNotNull() | (F.col("node") == F.col("head")))
+    again = materialise(again.select("band", "node", "near", "near_second"), "flagged-again")
+
+    groups = materialise(close.unionByName(close_again).distinct(), "groups")
+    sets = _shingles_of(groups.select(F.explode(F.array("head", "node")).alias("node")).distinct(), base)
+    links = _confirmed(groups.select(F.col("head").alias("a"), F.col("node").alias("b")), sets)
     roots = components(links, "a", "b")
-
-    placed = members.select("node", "band").join(marked, "node").join(roots, "node", "left")
-    placed = placed.select("node", "band", "of", F.coalesce("root", "node").alias("root"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"))
-    mixed = mixed.filter("lowest != highest").select("band")
-    by_root = placed.join(mixed, "band").groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    open_bands = materialise(main, "open-bands")
-    rest = materialise(placed.join(open_bands, "band"), "open-members")
-    minor = rest.filter("root != main").select(
-        F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("of").alias("of_a"), "band"
-    )
-    every = rest.select(
-        F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("of").alias("of_b"), "band", "main"
+    whole = groups.unionByName(groups.select("head", F.col("head").alias("node")).distinct())
+    within = materialise(_links_within(whole, roots, sets), "links-within")
+
+    placed = again.join(marked.drop("reach"), "node").join(roots, "node", "left")
+    placed = materialise(placed.withColumn("root", F.coalesce("root", "node")).select(*again.columns, "of", "root"), "placed")
+    one = [F.col(c).alias(f"{c}_a") for c in ("node", "near_second", "of", "root")]
+    two = [F.col(c).alias(f"{c}_b") for c in ("node", "near", "near_second", "of", "root")]
+    apart = (
+        (F.col("root_a") != F.col("root_b"))
+        & ~(F.col("near_second_a") & F.col("near_second_b"))
+        & (F.col("near_b") | (F.col("node_a") < F.col("node_b")))
     )
-    across = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    crossing = minor.join(every, "band").filter(across & _close("of_a", "of_b")).select("a", "b").distinct()
-    crossing = materialise(crossing, "crossing")
-    more = _confirmed(crossing.join(links, ["a", "b"], "left_anti"), base)
-    all_links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    roots = components(all_links, "a", "b")
+    far = placed.filter("NOT near").select("band", *one).join(placed.select("band", *two), "band")
+    far = far.filter(apart & _close("of_a", "of_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    far = materialise(far.distinct(), "far-pairs")
+    if not far.isEmpty():
+        ends = far.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        within = within.unionByName(_confirmed(far, _shingles_of(ends, base)))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(within), "a", "b")
 
     rows = signatures.select("doc_id", "set1", "set2", "size")
     rows = rows.join(nodes, ["set1", "set2", "size"], "left").join(roots, "node", "left")
