@@ -153,12 +153,14 @@ def _link_block(block: pa.Table) -> pa.Table:
     sets = [np.asarray(x.values) for x in block.column("shingles")]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     known, word = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
     often = np.bincount(word, minlength=len(known)) > 1  # a shingle of one set alone is shared with none
     number = np.cumsum(often) - 1
-    bits = np.zeros((len(sets), -(-max(1, int(often.sum())) // 64) * 64), bool)
-    bits[owner[often[word]], number[word[often[word]]]] = True
-    packed_bits = np.packbits(bits, axis=1).view(np.uint64)
+    row = np.zeros(-(-max(1, int(often.sum())) // 64) * 64, bool)
+    packed_bits = np.empty((len(sets), len(row) // 64), np.uint64)
+    for k, own in enumerate(np.split(word, np.cumsum(sizes)[:-1])):
+        row[:] = False
+        row[number[own[often[own]]]] = True
+        packed_bits[k] = np.packbits(row).view(np.uint64)
     right = np.flatnonzero(~left)
     parent = {int(n): int(n) for n in node}
 

@@ -350,3 +350,47 @@ def test_repeated_words_against_brute_force(spark):
         seen = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
         cover = {j + k for j in range(len(w) - 7) if seen[tuple(w[j : j + 8])] > 1 for k in range(8)}
         assert got[i] == len(cover)
+
+
+def test_blocks_link_what_all_pairs_would():
+    """Links of a block connect just what all pairs with different roots would connect."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for _ in range(20):
+        n, sets = rng.randint(2, 40), []
+        for _ in range(n):
+            own = set(range(60))
+            for _ in range(rng.randint(0, 14)):
+                own.discard(rng.randrange(60))
+                own.add(1000 + rng.randrange(200))
+            sets.append(sorted(own))
+        roots, minor = [rng.randrange(n) for _ in range(n)], [i for i in range(n) if rng.random() < 0.5]
+        rows = [(True, i) for i in minor] + [(False, i) for i in range(n)]
+        block = pa.table(
+            {
+                "left": [left for left, _ in rows],
+                "node": pa.array([i for _, i in rows], pa.int64()),
+                "root": pa.array([roots[i] for _, i in rows], pa.int64()),
+                "shingles": pa.array([sets[i] for _, i in rows], pa.list_(pa.int64())),
+            }
+        )
+
+        def connected(links, n=n):
+            parent = list(range(n))
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in links:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+            return [find(i) for i in range(n)]
+
+        found = min_max_dedup._link_block(block)
+        pairs = [(i, j) for i in minor for j in range(n) if roots[i] != roots[j]]
+        near = [(i, j) for i, j in pairs if 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]})]
+        assert connected(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == connected(near)
