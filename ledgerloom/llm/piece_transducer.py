@@ -32,7 +32,7 @@ from ledgerloom.llm.text import packed, unpack
 
 MARK = "▁"
 MOST_MODEL_BYTES = 64 << 20
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 INFINITE = float("inf")
@@ -109,7 +109,10 @@ class Transducer:
         self.unknown = next((i for i, t in enumerate(model.types) if t == UNKNOWN), 0)
         self.unknown_weight = 10.0 - min((model.scores[i] for i in self.ids.values()), default=0.0)
         self._trees: dict[int, tuple | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self._reach: dict[str, int] = {}  # the longest piece by its first two characters
+        for piece in self.ids:
+            self._reach[piece[:2]] = max(self._reach.get(piece[:2], 1), len(piece))
         self.words = _Remembered(lambda w: self._packed(MARK + w))
         self.bare = _Remembered(self._packed)
         self.text_of = [self._decoded(i) for i in range(len(model.pieces))]
@@ -147,7 +150,7 @@ class Transducer:
 
     def fits(self, first: int, second: int) -> bool:
         """Whether merging the text of two pieces gives these two."""
-        key = (first, second)
+        key = first << 32 | second
         known = self._fits.get(key)
         if known is None:
             if len(self._fits) > 4 * REMEMBERED:
@@ -182,31 +185,48 @@ class Transducer:
         return self._unigram_path(text)
 
     def _merge_path(self, text: str) -> list[int]:
-        ids, longest, fits = self.ids, self.longest, self.fits
-        came: list[int | None] = [None] * (len(text) + 1)  # the piece of the one state of finite weight; -1: bytes
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = ids.get(text[start:end])
-                if piece is None:
-                    continue
-                before = came[start]
-                if start and before is None:
-                    continue
-                if fits(before, piece) if start and before >= 0 else self._tree(piece) is not None:
-                    came[end] = piece
-                    break
+        """Depth first, longer pieces first. All finite paths weigh 0 and a position has one state of finite weight, so
+        the first path to the end is the least, and a position that led nowhere is not tried again."""
+        ids, reach, known, pieces = self.ids, self._reach, self._fits, self.model.pieces
+        path: list[int] = []  # -1: the bytes of a character without a piece
+        dead: set[int] = set()
+        at, before, end = 0, -1, len(text)
+        size = min(end, reach.get(text[:2], 1))
+        while at < end:
+            while size:
+                piece = ids.get(text[at : at + size])
+                if piece is not None and at + size not in dead:
+                    if before < 0:
+                        fit = self._tree(piece) is not None
+                    else:
+                        fit = known.get(before << 32 | piece)
+                        if fit is None:
+                            fit = self.fits(before, piece)
+                    if fit:
+                        path.append(piece)
+                        at += size
+                        before, size = piece, min(end - at, reach.get(text[at : at + 2], 1))
+                        break
+                size -= 1
             else:
-                if text[end - 1] not in ids:
-                    came[end] = -1
-        out: list[list[int]] = []
-        end = len(text)
-        while end:
-            piece = came[end]
-            if piece is None:
-                raise AssertionError("no path of finite weight")
-            out.append([piece] if piece >= 0 else self._fallback(text[end - 1]))
-            end -= len(self.model.pieces[piece]) if piece >= 0 else 1
-        return [i for part in reversed(out) for i in part]
+                if text[at] not in ids:
+                    path.append(-1)
+                    at += 1
+                    before, size = -1, min(end - at, reach.get(text[at : at + 2], 1))
+                    continue
+                if before < 0:
+                    raise AssertionError("no path of finite weight")
+                dead.add(at)
+                size = len(pieces[path.pop()])
+                at -= size
+                before, size = path[-1] if path else -1, size - 1
+        if -1 not in path:
+            return path
+        out, at = [], 0
+        for piece in path:
+            out += [piece] if piece >= 0 else self._fallback(text[at])
+            at += len(pieces[piece]) if piece >= 0 else 1
+        return out
 
     def _unigram_path(self, text: str) -> list[int]:
         weight, came = [0.0] + [INFINITE] * len(text), [(0, -1)] * (len(text) + 1)
