@@ -30,7 +30,7 @@ STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -118,8 +118,8 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_byt
     members = materialise(base.join(hits, "digest"), "members")
     stays = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     first = stays.groupBy("digest").agg(F.min("content").alias("first_content"))
-    differing = members.join(first, "digest").filter("content != first_content").select("digest").distinct()
-    split = materialise(differing, "split-digests")
+    differing = materialise(members.join(first, "digest").filter("content != first_content").select("digest"), "differing")
+    split = materialise(differing.distinct(), "split-digests")
 
     same = arrivals.select("doc_id", "digest").join(state, "digest").join(split, "digest", "left_anti")
     apart = members.select("doc_id", "digest", "content").join(split, "digest", "left_semi")

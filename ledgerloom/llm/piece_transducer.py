@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import packed, unpack
+from ledgerloom.llm.text import packed, text_of, unpack
 
 MARK = "▁"
 MOST_MODEL_BYTES = 64 << 20
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 INFINITE = float("inf")
@@ -285,6 +285,11 @@ class Transducer:
             at = stop
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Give back the memory of remembered words at the end of a task, since workers outlive it."""
+        self.words.clear()
+        self.bare.clear()
+
     def _decoded(self, i: int) -> bytes:
         kind, piece = self.model.types[i], self.model.pieces[i]
         if kind == BYTE:
@@ -357,17 +362,18 @@ def encode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [t or "" for t in part.column("text").to_pylist()]
+                texts = [t or "" for t in text_of(part.column(0)).to_pylist()]
                 ids = [transducer.encode(t) for t in texts]
                 same = [
                     not check or transducer.decode(memoryview(i).cast("i").tolist()) == t
                     for i, t in zip(ids, texts, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), _id_lists(ids), pa.array(same)], names=["row", "ids", "same"]
+                    [part.column(0), _id_lists(ids), pa.array(same)], names=["row", "ids", "same"]
                 )
+        transducer.forget()
 
-    base = packed(docs).select("row", "text")
+    base = packed(docs).select("row")
     kind = f"row {base.schema['row'].dataType.simpleString()}, ids array<int>, same boolean"
     done = base.mapInArrow(run, kind)
     results = {"ids": F.col("ids"), "n_ids": F.size("ids").cast("long")}

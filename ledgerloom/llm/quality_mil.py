@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.text import packed, unpack
+from ledgerloom.llm.text import packed, text_of, unpack
 from ledgerloom.llm.word_arrays import IS_BLANK, Words, chunks
 
 PASSAGE = 64
@@ -200,12 +200,12 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [net.scores(x, firsts) for _, _, x, firsts in passages(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["row", "own_score"]
-            )
+            rows = batch.column(0)
+            for first, end, x, firsts in passages(text_of(rows)):
+                scored = pa.array(net.scores(x, firsts))
+                yield pa.RecordBatch.from_arrays([rows.slice(first, end - first), scored], names=["row", "own_score"])
 
-    base = packed(docs).select("row", "text")
+    base = packed(docs).select("row")
     scored = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, own_score double")
     predicted = (F.col("own_score") >= THRESHOLD).cast("int")
     return unpack(scored, columns, score=F.col("own_score"), predicted=predicted)

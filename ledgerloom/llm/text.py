@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"], docs["text"], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
 
+def text_of(rows: pa.StructArray) -> pa.Array:
+    """The texts within `row`, so that they need not be sent to Python twice."""
+    return rows.field(next(i for i, f in enumerate(rows.type) if f.name.lower() == "text"))
+
+
 def unpack(packed_rows: DataFrame, names: list[str], **results: Column) -> DataFrame:
     """The input's columns out of `row`, and the results; a result replaces an input column of its name.
 
