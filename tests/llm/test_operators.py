@@ -187,6 +187,29 @@ def test_licences(spark):
     assert known.select("digest").distinct().count() == len(LICENCES)
 
 
+def test_full_texts_and_headers_between_lines(spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"]
+    texts = [LICENCES[n] for n in names]
+    header = "\n".join(f" * {line}" for line in LICENCES["Apache-2.0-header"].split("\n"))
+    flowed = " ".join(LICENCES["GPL-3.0-header"].split()).replace("but WITHOUT", "\nbut WITHOUT")
+    texts += [
+        f"/*\n{header}\n */\nint main() {{}}\n{header}",
+        f"code above\n{flowed}\ncode below",
+        f"my readme\n{LICENCES['BSD-2-Clause-untitled']}\nthe end",
+        "some words\n\nThis project is licensed\nunder the MIT License\n\nmore words",
+        f"code above\n{flowed} and more in the last line",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)) + [(10, texts[9])], "doc_id long, text string")
+    rows = licences.scan(docs).collect()
+    got = {r.doc_id: r for r in rows}
+    assert [got[i].whole_licence for i in range(1, len(names) + 1)] == names
+    blocks = [(got[i].whole_licence, got[i].n_licence_blocks, got[i].block_licences) for i in range(10, 15)]
+    assert blocks[0] == (None, 2, "Apache-2.0-header") and blocks[1] == (None, 1, "GPL-3.0-header")
+    assert blocks[2] == (None, 1, "BSD-2-Clause-untitled") and blocks[3][1] == 1 and blocks[3][2].startswith("MIT-notice")
+    assert sum(r.doc_id == 10 and r.n_licence_blocks == 2 for r in rows) == 2  # equal rows, one by one
+    assert blocks[4] == (None, 0, None)
+
+
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_substrings_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
