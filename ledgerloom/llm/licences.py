@@ -39,10 +39,26 @@ SPELLINGS = (
     ("\\borganis", "organiz"),
     ("\\backnowledgement", "acknowledgment"),
 )
+_YEAR = "(?:[0-9]{4}|<year>|\\[year\\]|yyyy)"
+_SIGN = "(?:\\(c\\)|©)"
+#: Lines that name a holder: copyright with a year, or followed by its sign or 'by'. Prose such as 'copyright notice' stays.
 COPYRIGHT_LINE = (
-    "(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*(?:[0-9]{4}|<year>|\\[year\\]|yyyy)[^\\n]*$"
+    f"(?m)^[^a-z0-9\\n]*(?:copyright|{_SIGN})[^\\n]*{_YEAR}[^\\n]*$"
+    f"|^[^a-z0-9\\n]*(?:copyright[ \\t]*(?:{_SIGN}|by\\b)|{_SIGN}[ \\t]*copyright\\b)[^\\n]*$"
     "|^[^a-z0-9\\n]*all rights reserved[^a-z0-9\\n]*$"
 )
+#: Opening words of a grant; a copyright line ends before them where line breaks are gone.
+_GRANT = "(?:" + "|".join(
+    (
+        "permission is (?:hereby )?granted", "permission to use", "redistribution and use", "licen[cs]ed (?:under|to)\\b",
+        "released under\\b", "distributed under\\b", "this (?:program|library|software) is (?:free|provided|licen[cs]ed|released)",
+        "this source code form", "use of this source code", "spdx-licen[cs]e-identifier", "everyone is permitted",
+    )
+).replace(" ", "[ \\t]+") + ")"
+#: Line breaks put back around a copyright line in running text; a holder's name has 300 characters at most.
+COPYRIGHT_START = f"[ \\t]+(?=(?:{_SIGN}[ \\t]*)?copyright[ \\t]*(?:{_SIGN}|by\\b|{_YEAR})[^\\n]{{0,300}}?[ \\t]{_GRANT})"
+COPYRIGHT_END = f"(copyright[^\\n]{{0,300}}?|{_SIGN}[ \\t]*{_YEAR}[^\\n]{{0,300}}?)[ \\t]+(?={_GRANT})"
+LINE_ENDS = "\r\x0b\x0c\x85\u2028\u2029"
 #: Each known text holds one of these in any of its spellings; a text without them needs no canonical form.
 STEMS = ("licen", "permission", "cc0", "redistribution", "released", "distributed", "available", "published")
 #: Known texts of more words are looked for as runs of lines, shorter ones as blocks.
@@ -58,7 +74,9 @@ def may_match(text: Column) -> Column:
 
 def canonical_lines(text: Column) -> Column:
     """The form in which texts are compared, with a line feed in place of a space where a line ends."""
-    out = F.regexp_replace(F.lower(whole_text(text)), COPYRIGHT_LINE, " ")
+    out = F.translate(F.lower(whole_text(text)), LINE_ENDS, "\n" * len(LINE_ENDS))
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_START, "\n"), COPYRIGHT_END, "$1\n")
+    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
     for spelling, common in SPELLINGS:
         out = F.regexp_replace(out, spelling, common)
     out = F.regexp_replace(out, "[^\\p{L}\\p{N}\n]+", " ")

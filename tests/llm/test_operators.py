@@ -210,6 +210,21 @@ def test_full_texts_and_headers_between_lines(spark):
     assert blocks[4] == (None, 0, None)
 
 
+def test_copyright_lines_without_year_or_line_breaks(spark):
+    mit, line = LICENCES["MIT"], "Copyright (c) [year] [fullname]"
+    holders = ["Copyright (c) Microsoft Corporation.", "Copyright (c) The Authors. All rights reserved.", "Copyright by Jo Doe",
+               "© Copyright Jo Doe", "Copyright © Jo Doe"]
+    texts = [mit.replace(line, x) for x in holders]
+    texts += [mit.replace(line, x).replace("\n", "\r\n") for x in holders[:1]]
+    texts += [" ".join(mit.replace(line, x).split()) for x in (*holders[:2], "Copyright 2019 X")]
+    untitled = LICENCES["MIT-untitled"].replace(line, "Copyright 2019 X")
+    texts += [" ".join(untitled.split()), "Copyright 2019 X Licensed under the Apache License, Version 2.0."]
+    texts += ["Copyright holders be liable\nthe copyright notice 2019 stays\nReleased under the MIT License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.whole_licence for r in licences.scan(docs).sort("doc_id").collect()]
+    assert got == ["MIT"] * 9 + ["MIT-untitled", "Apache-2.0-notice", None]
+
+
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_substrings_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
