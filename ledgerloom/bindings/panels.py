@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ledgerloom import layout, sinks
 from ledgerloom.bindings import inputs as I
@@ -323,6 +324,17 @@ def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.history_payload(narrow)
 
 
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of the whole panel less identities, in parts, parsed back to typed rows."""
+    hashed = A.hash_entities(I.panel(spark, sf_dir), I.SALT).drop(*layout.PRIVATE_COLUMNS)
+    kind = hashed.drop("inst_hash").schema
+    parts = history.history_parts(hashed)
+    rows = F.posexplode(F.from_json("payload", ArrayType(kind)))
+    return parts.select("inst_hash", "block", "repeat", "n", rows.alias("pos", "row")).select(
+        "inst_hash", "block", "repeat", "n", "pos", "row.*"
+    )
+
+
 def user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.user_message(_histories(spark, sf_dir))
 
@@ -400,6 +412,7 @@ QUERIES = {
     "processing_stats": processing_stats,
     "next_period": next_period,
     "history_payload": _histories,
+    "history_rows": history_rows,
     "user_message": user_message,
     "pseudonymize_v1": pseudonymize_v1,
     "pseudonym_csv": pseudonym_csv,
@@ -525,6 +538,15 @@ ORACLES = {
         last_one AS (SELECT Ano, Mes FROM panel ORDER BY Ano DESC, Mes DESC LIMIT 1)
         SELECT CASE WHEN Mes <= 6 THEN Ano || '-S2' ELSE (Ano + 1) || '-S1' END AS semestre_alvo FROM last_one""",
     "history_payload": f"WITH {_HISTORY} SELECT * FROM histories",
+    "history_rows": f"""WITH {_PANEL},
+        numbered AS (
+          SELECT {entity_hash('CNPJ8')} AS inst_hash, *, (Ano * 2 + CASE WHEN Mes <= 6 THEN 0 ELSE 1 END) // 20 AS block
+          FROM panel)
+        SELECT inst_hash, CAST(block AS BIGINT) AS block, CAST(0 AS BIGINT) AS repeat,
+               count(*) OVER (PARTITION BY inst_hash, block) AS n,
+               CAST(row_number() OVER (PARTITION BY inst_hash, block ORDER BY Ano, Mes) - 1 AS INTEGER) AS pos,
+               {', '.join(c for c in layout.PANEL_COLUMNS if c not in layout.PRIVATE_COLUMNS)}
+        FROM numbered""",
     "user_message": f"""WITH {_HISTORY}
         SELECT inst_hash, 'inst_hash: ' || inst_hash || chr(10) || chr(10) || 'Série Histórica de Dados (JSON):' || chr(10)
                || payload AS mensagem FROM histories""",

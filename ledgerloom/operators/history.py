@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADING = "Série Histórica de Dados (JSON):"  # fixed value
@@ -26,6 +26,33 @@ def history_payload(panel: DataFrame, entity: str = "inst_hash") -> DataFrame:
     )
 
 
+def history_parts(
+    panel: DataFrame, entity: str = "inst_hash", semesters: int = 20, repeats: int = 50
+) -> DataFrame:
+    """(entity, block, repeat, n, payload): the history in parts of at most `semesters` times `repeats` rows.
+
+    A block holds the semesters of so many half-years of the calendar (null for rows without year or month). Rows of one
+    semester are numbered by their values, in a window over this semester of this entity alone, and each `repeats` of
+    them go to the next part of the block. So no list is longer than a part, however many rows an entity has. The panel
+    needs `Ano` and `Mes`; rows within a part are ordered as in `history_payload`.
+    """
+    fields = F.struct(*[F.col(f"`{c}`") for c in panel.columns if c != entity])
+    half = F.col("Ano") * 2 + F.when(F.col("Mes") <= 6, 0).when(F.col("Mes") > 6, 1)
+    rows = panel.select(
+        F.col(entity).alias("entity"), F.col("Ano").alias("year"), F.col("Mes").alias("month"), half.alias("half"), fields.alias("row")
+    )
+    numbered = rows.withColumn("no", F.row_number().over(Window.partitionBy("entity", "half").orderBy("year", "month", "row")) - 1)
+    key = [x for c in ("year", "month") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    items = numbered.select(
+        F.col("entity").alias(entity), F.floor(F.col("half") / semesters).alias("block"),
+        F.floor(F.col("no") / repeats).alias("repeat"), F.struct(*key, "row").alias("item"),
+    )
+    ordered = F.transform(F.array_sort(F.collect_list("item")), lambda i: i["row"])
+    return items.groupBy(entity, "block", "repeat").agg(
+        F.count("*").alias("n"), F.to_json(ordered, {"ignoreNullFields": "false"}).alias("payload")
+    )
+
+
 def user_message(history: DataFrame, entity: str = "inst_hash") -> DataFrame:
     """(entity, mensagem): the history wrapped in a text."""
     return history.select(
