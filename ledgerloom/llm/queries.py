@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import (
     exact_dedup,
     host_rules,
+    language_id,
     licences,
     line_dedup,
+    merkle,
     min_max_dedup,
     mixing,
     pii_segments,
     piece_transducer,
+    prefix_trie,
     quality_mil,
     substring_dedup,
 )
@@ -83,6 +86,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = F.pmod(F.crc32(docs["doc_id"].cast("string")), F.lit(7)) == 0
+    claimed = {f: docs[f] for f in merkle.FIELDS} | {"n_chars": docs["n_chars"] + F.when(picked, 1).otherwise(0)}
+    manifest = merkle.build(docs, claimed=merkle.leaf(list(claimed.values())))
+    return merkle.verified(manifest.proofs(), "claimed").select(
+        F.col("id").alias("doc_id"), F.col("node").alias("leaf"), "subroot", "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified",
+    )
+
+
+def op12_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language_id.identify(docs, language_id.train(docs))
+    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_max_dedup": op1_min_max_dedup,
     "op2_poisson_mix": op2_poisson_mix,
@@ -94,9 +118,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_mil": op8_attention_mil,
     "op9_piece_transducer": op9_piece_transducer,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_families": op12_language_families,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: CRC-32 of a decimal number, from a table of 256 entries that is made by the polynomial.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY n) AS crcs FROM (
+    SELECT n, list_reduce(list_concat([n], range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) AS bytes(n)))"""
+
+
+def _crc(number: str) -> str:
+    return f"""xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])))"""
+
+
+def _sized(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
@@ -181,4 +226,75 @@ marked AS (SELECT k.*, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (
+  SELECT doc_id, lang, sha256({' || '.join(_sized(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS leaf,
+    sha256({_sized('doc_id')} || {_sized('source')} || {_sized('lang')} ||
+      {_sized(f"(n_chars + CASE WHEN {_crc('doc_id')} % 7 = 0 THEN 1 ELSE 0 END)")} || {_sized('text')}) AS claimed
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves),
+levels(tree, l, nodes) AS (
+  SELECT tree, 0, list(leaf ORDER BY i) FROM placed GROUP BY tree
+  UNION ALL
+  SELECT tree, l + 1,
+    list_transform(range(1, len(nodes) + 1, 2), lambda j: sha256(nodes[j] || coalesce(nodes[j + 1], '')))
+  FROM levels WHERE len(nodes) > 1),
+subroots AS (SELECT tree, nodes[1] AS subroot FROM levels WHERE len(nodes) = 1),
+tops(l, nodes) AS (
+  SELECT 0, list(subroot ORDER BY tree) FROM subroots
+  UNION ALL
+  SELECT l + 1, list_transform(range(1, len(nodes) + 1, 2), lambda j: sha256(nodes[j] || coalesce(nodes[j + 1], '')))
+  FROM tops WHERE len(nodes) > 1),
+steps AS (
+  SELECT p.tree, p.i, v.l, (p.i >> v.l) & 1 AS odd, coalesce(v.nodes[xor(p.i >> v.l, 1) + 1], '') AS beside
+  FROM placed p JOIN levels v ON p.tree = v.tree AND len(v.nodes) > 1
+  UNION ALL
+  SELECT p.tree, p.i, 1000 + t.l, (p.tree >> t.l) & 1, coalesce(t.nodes[xor(p.tree >> t.l, 1) + 1], '')
+  FROM placed p, tops t WHERE len(t.nodes) > 1),
+proofs AS (
+  SELECT tree, i, string_agg(beside, '' ORDER BY l) AS proof,
+    list(CASE WHEN odd = 1 THEN 'l' ELSE 'r' END || beside ORDER BY l) AS path
+  FROM steps GROUP BY tree, i),
+folding AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root,
+    sha256(coalesce(f.proof, '')) AS proof_sha256,
+    list_reduce(list_concat([p.claimed], coalesce(f.path, [])), lambda node, s:
+      sha256(CASE WHEN s[1] = 'l' THEN s[2:] || node ELSE node || s[2:] END)) AS folded_root
+  FROM placed p JOIN subroots s USING (tree) LEFT JOIN proofs f USING (tree, i))
+SELECT *, folded_root = root AS verified FROM folding""",
+    "op13_prefix_trie": f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({{'code': strlen(role) || ':' || role || strlen(text) || ':' || text, 'chars': length(text)}}
+    ORDER BY turn NULLS FIRST, role, md5(text)) AS turns FROM turns GROUP BY conv_id),
+shared AS (SELECT own.*, {_crc('conv_id')} % 6 AS h FROM own, crc_table),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.turns, [])[1:s.h], s.turns[s.h + 1:]) AS turns
+  FROM shared s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt),
+keyed AS (
+  SELECT conv_id, depth, len(turns) AS total, list_transform(turns[1:depth], lambda t: t.code) AS codes,
+    coalesce(turns[depth].chars, 0) AS chars FROM prefixes),
+nodes AS (
+  SELECT depth, codes, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE total = depth), '')) AS ends_sha256
+  FROM keyed GROUP BY depth, codes),
+children AS (SELECT depth - 1 AS depth, codes[1:depth - 1] AS codes, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, codes)),
+spread AS (
+  SELECT unnest(range(depth + 1)) AS above, codes, n_children, (n_convs - 1) * chars AS saved FROM counted),
+sums AS (
+  SELECT above AS depth, codes[1:above] AS codes, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+    sum(saved)::BIGINT AS saved_tokens FROM spread GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s USING (depth, codes)
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.codes = n.codes[1:n.depth - 1]""",
 }
