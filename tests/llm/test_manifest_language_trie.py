@@ -98,7 +98,8 @@ def test_manifest_of_odd_tables(spark):
     manifest = merkle.build(nothing, claimed=claimed(nothing))
     assert manifest.root() is None and shown(manifest).count() == 0
     clashing = odd.clashing(spark).withColumns({n: F.lit(n) for n in ("tree", "at", "of", "path", "level", "claimed", "id")})
-    plain = shown(merkle.build(odd.docs(spark), claimed=claimed(odd.docs(spark))))
+    docs = odd.docs(spark)
+    plain = shown(merkle.build(docs, claimed=claimed(docs)))
     assert Counter(shown(merkle.build(clashing, claimed=claimed(clashing))).collect()) == Counter(plain.collect())
     one = odd.docs(spark).filter("doc_id = 4")
     got = shown(merkle.build(one, claimed=claimed(one))).first()
