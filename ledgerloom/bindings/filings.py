@@ -145,6 +145,7 @@ def silver_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with free texts, written as CSV and read back."""
     path = new_table_path(spark, "csv")
     facts = I.table(spark, sf_dir, "orders").select(
         I.pad8(F.col("o_custkey")).alias("cnpj"),
@@ -152,7 +153,7 @@ def csv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("BP").alias("bloco"),
         F.col("o_orderstatus").alias("escopo"),
         F.col("o_orderkey").cast("string").alias("nivel"),
-        F.col("o_orderpriority").alias("descricao"),
+        I.free_text(F.col("o_orderpriority")).alias("descricao"),
         F.col("o_totalprice").alias("valor"),
     )
     sinks.write_csv(facts, path)
@@ -316,7 +317,7 @@ ORACLES = {
         FROM lineitem""",
     "csv_typed_scan": f"""
         SELECT {pad8('o_custkey')} AS cnpj, strftime(o_orderdate, '%Y-%m-%d') AS periodo, 'BP' AS bloco,
-               o_orderstatus AS escopo, CAST(o_orderkey AS VARCHAR) AS nivel, o_orderpriority AS descricao,
+               o_orderstatus AS escopo, CAST(o_orderkey AS VARCHAR) AS nivel, {I.free_text_sql('o_orderpriority')} AS descricao,
                o_totalprice AS valor
         FROM orders""",
     "balance_qc": _balance_sql("nivel LIKE '1%'", "nivel LIKE '2%'"),

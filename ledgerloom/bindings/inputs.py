@@ -31,19 +31,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of documents that one task should make, and how many a stored byte of a row becomes.
+TASK_BYTES, GROWTH = 32 << 20, 64
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table whose rows become documents, dealt out by its first column.
 
     A row of a table makes a document of many times its size, so splits that suit the table are too coarse for the
-    documents; rows are therefore dealt out while they are still narrow, at every size alike.
+    documents; rows are therefore dealt out while they are still narrow, to as many tasks as the documents will ask for
+    and at least one per core. Their number is given, since adaptive execution would measure the narrow rows.
     """
-    return table(spark, sf_dir, name).select(*columns).repartition(F.col(columns[0]))
+    rows = table(spark, sf_dir, name).select(*columns)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size * GROWTH // TASK_BYTES))
+    return rows.repartition(tasks, F.col(columns[0]))
 
 
 def pad8(key: Column) -> Column:
     return zero_pad(key.cast("string"), 8)
 
 
+def free_text(value: Column) -> Column:
+    """Text with a line break, quotes, separators and blanks at its ends, as auditors write it."""
+    return F.concat(F.lit(' Nota "'), value, F.lit('"; linha um,\nlinha ""dois"" '))
+
+
+def free_text_sql(value: str) -> str:
+    return f"""(' Nota "' || {value} || '"; linha um,' || chr(10) || 'linha ""dois"" ')"""
+
+
 def month_of(date: Column) -> Column:
     return F.date_format(date, "yyyyMM")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -21,6 +21,7 @@ from ledgerloom.sources import tables as T
 # --- SQL shared by several checks ------------------------------------------------------------------------------
 
 _S = I.SETTINGS
+ONE = "00000001"
 
 
 def unit_draw(*key: str) -> str:
@@ -163,10 +164,19 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.with_record(I.extraction_texts(spark, sf_dir))
 
 
+def _whole_record(records: DataFrame, *keep: str) -> DataFrame:
+    """All fields that occur in records, those without a panel column included."""
+    record = F.col("record")
+    foreign = [
+        F.try_variant_get(record, "$.Contas_Base.Campo_Novo", "bigint").alias("Campo_Novo"),
+        F.try_variant_get(record, "$.Notas.x", "bigint").alias("Notas_x"),
+    ]
+    return records.select(*keep, *sections.section_columns(record), *foreign)
+
+
 def read_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select(
-        "event_id", "file_name", "readable", F.col("record").isNotNull().alias("usable")
-    )
+    records = _records(spark, sf_dir).withColumn("usable", F.col("record").isNotNull())
+    return _whole_record(records, "event_id", "file_name", "readable", "usable")
 
 
 def flatten_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,10 +184,9 @@ def flatten_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unwrap_singleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = F.col("record")
-    return _records(spark, sf_dir).select(
-        "event_id", V.as_text(V.field(V.field(record, "Identificacao"), "Razao_Social")).alias("nome")
-    )
+    """Records as they were parsed, lists of one or more included, taken out of their lists."""
+    parsed = I.extraction_texts(spark, sf_dir).select("event_id", F.try_parse_json("text").alias("json"))
+    return _whole_record(parsed.select("event_id", V.unwrap_single(F.col("json")).alias("record")), "event_id")
 
 
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,14 +199,19 @@ def panel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.panel_scan(spark, path)
 
 
+def _with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with a remark of several lines."""
+    return I.panel(spark, sf_dir).withColumn("Ident__Enfase_Auditor", I.free_text(F.col("CNPJ8")))
+
+
 def panel_scan_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels with permuted, missing and foreign columns in one folder, next to files that are no panels."""
     folder = new_table_path(spark, "mixed")
-    panel = I.panel(spark, sf_dir)
+    panel = _with_notes(spark, sf_dir)
     halves = F.col("Mes") <= 6
     shuffled = panel.filter(halves).select("Ano", "Mes", *reversed([c for c in panel.columns if c not in ("Ano", "Mes")]))
     sinks.write_csv(shuffled, f"{folder}/a", ";", bom=True)
-    lacking = panel.filter(~halves).drop("Ident__Auditor_Independente").withColumn("Nova_Coluna", F.lit("x;y"))
+    lacking = panel.filter(~halves).drop("Ident__Auditor_Independente").withColumn('Nova "Coluna"; 2', F.lit("x;y\nz"))
     sinks.write_csv(lacking, f"{folder}/b", ";")
     sinks.write_csv(I.table(spark, sf_dir, "region"), f"{folder}/c", ";")
     return T.panel_scan(spark, f"{folder}/*")
@@ -206,7 +220,7 @@ def panel_scan_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel written per institution and found again."""
     path = new_table_path(spark, "panels")
-    sinks.write_panel(I.panel(spark, sf_dir), path)
+    sinks.write_panel(_with_notes(spark, sf_dir), path)
     return T.discover_panels(spark, path).drop("path")
 
 
@@ -215,9 +229,9 @@ def mapping_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "mapping")
     key = F.col("c_custkey")
     mapping = I.table(spark, sf_dir, "customer").select(
-        F.lit("x").alias("Outra"),
+        F.lit("x\n;y").alias("Outra"),
         F.col("c_acctbal").alias("Fator_Escalonamento"),
-        F.col("c_name").alias("Ident__Razao_Social"),
+        I.free_text(F.col("c_name")).alias("Ident__Razao_Social"),
         I.pad8(key).alias("inst_hash"),
         F.lit("2024-S1").alias("Semestre_Ref"),
         F.concat(I.pad8(key), F.lit("000191")).alias("Ident__CNPJ"),
@@ -233,12 +247,11 @@ def extraction_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = I.extraction_texts(spark, sf_dir)
     sinks.write_extractions(texts.withColumn("CNPJ8", F.substring("file_name", 13, 8)), path)
     stored = spark.read.schema("file_name string, text string, CNPJ8 string").json(path)
-    return sections.with_record(stored).select("CNPJ8", "file_name", "readable")
+    return _whole_record(sections.with_record(stored), "CNPJ8", "file_name", "readable")
 
 
 def one_institution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = panel_from_extractions(_records(spark, sf_dir), only="00000042")
-    return panel.groupBy("CNPJ8").agg(F.count(F.lit(1)).alias("linhas"))
+    return panel_from_extractions(_records(spark, sf_dir), only=ONE)
 
 
 def semester_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,27 +329,38 @@ def next_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.next_period(I.panel(spark, sf_dir))
 
 
-def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = A.hash_entities(I.panel(spark, sf_dir), I.SALT)
-    narrow = hashed.select(
-        "inst_hash", "Semestre_Ref", "Ano", "Mes", F.col("Contas__Provisao_Contingencias").cast("bigint").alias("Pedidos")
-    )
-    return history.history_payload(narrow)
+def _public_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole panel under hashes, less identities."""
+    return A.hash_entities(I.panel(spark, sf_dir), I.SALT).drop(*layout.PRIVATE_COLUMNS)
+
+
+def _typed_rows(panel: DataFrame, texts: DataFrame, payload: Column, *keep: str) -> DataFrame:
+    """The rows within JSON texts, with all their columns."""
+    rows = F.posexplode(F.from_json(payload, ArrayType(panel.drop("inst_hash").schema)))
+    return texts.select(*keep, rows.alias("pos", "row")).select(*keep, "pos", "row.*")
+
+
+def history_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories with all columns of the panel but identities, read back from their texts."""
+    panel = _public_panel(spark, sf_dir)
+    return _typed_rows(panel, history.history_payload(panel), F.col("payload"), "inst_hash", "part", "n")
 
 
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories of the whole panel less identities, in parts, parsed back to typed rows."""
-    hashed = A.hash_entities(I.panel(spark, sf_dir), I.SALT).drop(*layout.PRIVATE_COLUMNS)
-    kind = hashed.drop("inst_hash").schema
-    parts = history.history_parts(hashed)
-    rows = F.posexplode(F.from_json("payload", ArrayType(kind)))
-    return parts.select("inst_hash", "block", "repeat", "n", rows.alias("pos", "row")).select(
-        "inst_hash", "block", "repeat", "n", "pos", "row.*"
-    )
+    """The same in parts of three rows."""
+    panel = _public_panel(spark, sf_dir)
+    return _typed_rows(panel, history.history_payload(panel, rows=3), F.col("payload"), "inst_hash", "part", "n")
 
 
 def user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.user_message(_histories(spark, sf_dir))
+    """What stands before the history in each message, and the rows of the history."""
+    panel = _public_panel(spark, sf_dir)
+    messages = history.user_message(history.history_payload(panel))
+    start = F.locate("[", F.col("mensagem"))
+    parts = messages.select(
+        "inst_hash", F.substr("mensagem", F.lit(1), start - 1).alias("inicio"), F.substr("mensagem", start).alias("payload")
+    )
+    return _typed_rows(panel, parts, F.col("payload"), "inst_hash", "inicio")
 
 
 def pseudonymize_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +435,7 @@ QUERIES = {
     "run_summary": run_summary,
     "processing_stats": processing_stats,
     "next_period": next_period,
-    "history_payload": _histories,
+    "history_payload": history_payload,
     "history_rows": history_rows,
     "user_message": user_message,
     "pseudonymize_v1": pseudonymize_v1,
@@ -432,7 +456,7 @@ records AS (
   FROM events)"""
 
 
-def _flatten_sections_sql() -> str:
+def _section_fields_sql() -> dict[str, str]:
     fields = {
         "Ident__Razao_Social": "'Inst ' || user_id",
         "Ident__CNPJ": "cnpj8 || '000191'",
@@ -446,11 +470,27 @@ def _flatten_sections_sql() -> str:
     fields["Contas__Ativo_Fiscal_Diferido"] = "CASE WHEN kind <> 'view' THEN value + 16.0::DOUBLE END"
     for j, name in enumerate(layout.RATIO_COLUMNS, 1):
         fields[name] = f"CASE WHEN kind <> 'error' THEN CAST(k * {j} AS DOUBLE) END"
-    cells = ", ".join(f"CASE WHEN usable THEN {e} END AS {n}" for n, e in fields.items())
+    return {name: f"CASE WHEN usable THEN {e} END" for name, e in fields.items()}
+
+
+def _cells_sql(fields: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {n}" for n, e in fields.items())
+
+
+def _flatten_sections_sql(only: str = "TRUE", key: str = "event_id, ") -> str:
     return f"""WITH {_RECORDS}
-        SELECT event_id, ano || CASE WHEN mes <= 6 THEN '-S1' ELSE '-S2' END AS Semestre_Ref, ano AS Ano, mes AS Mes,
-               yyyymm AS YYYYMM, cnpj8 AS CNPJ8, yyyymm || '-9010-' || cnpj8 || '.pdf' AS Arquivo_PDF, {cells}
-        FROM records WHERE readable"""
+        SELECT {key}ano || CASE WHEN mes <= 6 THEN '-S1' ELSE '-S2' END AS Semestre_Ref, ano AS Ano, mes AS Mes,
+               yyyymm AS YYYYMM, cnpj8 AS CNPJ8, yyyymm || '-9010-' || cnpj8 || '.pdf' AS Arquivo_PDF,
+               {_cells_sql(_section_fields_sql())}
+        FROM records WHERE readable AND {only}"""
+
+
+def _whole_record_sql(keep: str) -> str:
+    foreign = {
+        "Campo_Novo": "CASE WHEN usable AND kind = 'purchase' THEN k END",
+        "Notas_x": "CASE WHEN usable AND kind = 'signup' THEN k END",
+    }
+    return f"WITH {_RECORDS} SELECT {keep}, {_cells_sql(_section_fields_sql() | foreign)} FROM records"
 
 
 def _drift_sql() -> str:
@@ -463,36 +503,40 @@ def _drift_sql() -> str:
         WHERE usable"""
 
 
-_HISTORY = f"""{_PANEL},
-histories AS (
-  SELECT {entity_hash('CNPJ8')} AS inst_hash, count(*) AS n,
-         '[' || string_agg('{{"Semestre_Ref":"' || Semestre_Ref || '","Ano":' || Ano || ',"Mes":' || Mes || ',"Pedidos":'
-             || CAST(Contas__Provisao_Contingencias AS BIGINT) || '}}', ',' ORDER BY Ano, Mes) || ']' AS payload
-  FROM panel GROUP BY CNPJ8)"""
+def _history_sql(rows: int, head: str) -> str:
+    return f"""WITH {_PANEL},
+        numbered AS (
+          SELECT {entity_hash('CNPJ8')} AS inst_hash, *,
+                 row_number() OVER (PARTITION BY CNPJ8 ORDER BY Ano, Mes) - 1 AS place FROM panel)
+        SELECT inst_hash, {head}, CAST(place % {rows} AS INTEGER) AS pos,
+               {', '.join(c for c in layout.PANEL_COLUMNS if c not in layout.PRIVATE_COLUMNS)}
+        FROM numbered"""
+
+
+def _part_sql(rows: int) -> str:
+    return _history_sql(rows, f"place // {rows} AS part, count(*) OVER (PARTITION BY inst_hash, place // {rows}) AS n")
+
 
 _PSEUDO_FACTOR = uniform(0.60, 1.40, f"'{I.SECRET}'", "'k'", f"sha256('{I.SALT}' || {pad8('o_custkey')})")
 
 ORACLES = {
-    "read_extractions": f"""WITH {_RECORDS}
-        SELECT event_id, yyyymm || '-9010-' || cnpj8 || '.json' AS file_name, readable, usable FROM records""",
+    "read_extractions": _whole_record_sql("event_id, yyyymm || '-9010-' || cnpj8 || '.json' AS file_name, readable, usable"),
     "flatten_sections": _flatten_sections_sql(),
-    "unwrap_singleton": f"""WITH {_RECORDS}
-        SELECT event_id, CASE WHEN usable THEN 'Inst ' || user_id END AS nome FROM records""",
+    "unwrap_singleton": _whole_record_sql("event_id"),
     "schema_drift": _drift_sql(),
     "panel_scan": f"WITH {_PANEL} SELECT * FROM panel",
     "panel_scan_mixed": f"""WITH {_PANEL}
-        SELECT * REPLACE (CASE WHEN Mes <= 6 THEN Ident__Auditor_Independente END AS Ident__Auditor_Independente) FROM panel""",
-    "panel_store": f"WITH {_PANEL} SELECT * FROM panel",
+        SELECT * REPLACE (CASE WHEN Mes <= 6 THEN Ident__Auditor_Independente END AS Ident__Auditor_Independente,
+                          {I.free_text_sql('CNPJ8')} AS Ident__Enfase_Auditor) FROM panel""",
+    "panel_store": f"""WITH {_PANEL} SELECT * REPLACE ({I.free_text_sql('CNPJ8')} AS Ident__Enfase_Auditor) FROM panel""",
     "mapping_scan": f"""
         SELECT {pad8('c_custkey')} AS inst_hash, '2024-S1' AS Semestre_Ref, {pad8('c_custkey')} || '000191' AS Ident__CNPJ,
-               c_name AS Ident__Razao_Social, CAST(c_acctbal AS DOUBLE) AS Fator_Escalonamento,
+               {I.free_text_sql('c_name')} AS Ident__Razao_Social, CAST(c_acctbal AS DOUBLE) AS Fator_Escalonamento,
                CAST(NULL AS DOUBLE) AS "Var_%_ROE", CAST(NULL AS DOUBLE) AS "Var_%_Eficiencia",
                CAST(NULL AS DOUBLE) AS "Var_%_Liquidez", CAST(NULL AS DOUBLE) AS "Var_%_Capitalizacao"
         FROM customer""",
-    "extraction_store": f"""WITH {_RECORDS}
-        SELECT cnpj8 AS CNPJ8, yyyymm || '-9010-' || cnpj8 || '.json' AS file_name, readable FROM records""",
-    "one_institution": f"""WITH {_RECORDS}
-        SELECT cnpj8 AS CNPJ8, count(*) AS linhas FROM records WHERE readable AND cnpj8 = '00000042' GROUP BY cnpj8""",
+    "extraction_store": _whole_record_sql("cnpj8 AS CNPJ8, yyyymm || '-9010-' || cnpj8 || '.json' AS file_name, readable"),
+    "one_institution": _flatten_sections_sql(f"cnpj8 = '{ONE}'", ""),
     "semester_cutoff": f"WITH {_PANEL} SELECT * FROM panel WHERE {_ordinal(I.CUTOFF)}",
     "cutoff_excluded": f"""WITH {_PANEL}
         SELECT CNPJ8, count(*) AS linhas FROM panel p
@@ -537,19 +581,11 @@ ORACLES = {
     "next_period": f"""WITH {_PANEL},
         last_one AS (SELECT Ano, Mes FROM panel ORDER BY Ano DESC, Mes DESC LIMIT 1)
         SELECT CASE WHEN Mes <= 6 THEN Ano || '-S2' ELSE (Ano + 1) || '-S1' END AS semestre_alvo FROM last_one""",
-    "history_payload": f"WITH {_HISTORY} SELECT * FROM histories",
-    "history_rows": f"""WITH {_PANEL},
-        numbered AS (
-          SELECT {entity_hash('CNPJ8')} AS inst_hash, *, (Ano * 2 + CASE WHEN Mes <= 6 THEN 0 ELSE 1 END) // 20 AS block
-          FROM panel)
-        SELECT inst_hash, CAST(block AS BIGINT) AS block, CAST(0 AS BIGINT) AS repeat,
-               count(*) OVER (PARTITION BY inst_hash, block) AS n,
-               CAST(row_number() OVER (PARTITION BY inst_hash, block ORDER BY Ano, Mes) - 1 AS INTEGER) AS pos,
-               {', '.join(c for c in layout.PANEL_COLUMNS if c not in layout.PRIVATE_COLUMNS)}
-        FROM numbered""",
-    "user_message": f"""WITH {_HISTORY}
-        SELECT inst_hash, 'inst_hash: ' || inst_hash || chr(10) || chr(10) || 'Série Histórica de Dados (JSON):' || chr(10)
-               || payload AS mensagem FROM histories""",
+    "history_payload": _part_sql(history.ROWS),
+    "history_rows": _part_sql(3),
+    "user_message": _history_sql(
+        history.ROWS, f"'inst_hash: ' || inst_hash || chr(10) || chr(10) || '{history.HEADING}' || chr(10) AS inicio"
+    ),
     "pseudonymize_v1": f"""
         SELECT sha256('{I.SALT}' || {pad8('o_custkey')}) AS inst_hash, o_orderkey AS id,
                o_totalprice * {_PSEUDO_FACTOR} AS valor FROM orders""",

@@ -2,60 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.numbering import numbered
+
 HEADING = "Série Histórica de Dados (JSON):"  # fixed value
+ROWS = 1000
 
 
-def history_payload(panel: DataFrame, entity: str = "inst_hash") -> DataFrame:
-    """(entity, n, payload): chronological JSON array of the entity's rows, without the entity itself.
+def history_payload(panel: DataFrame, entity: str = "inst_hash", rows: int = ROWS) -> DataFrame:
+    """(entity, part, n, payload): chronological JSON array of the entity's rows, without the entity itself.
 
     Rows are ordered by year and month, or by `Semestre_Ref` in a panel without these columns; rows without year or
-    month come last. Rows of a semester that occurs more than once are all kept, ordered by their values. The payload
-    is one text per entity by its nature, as long as the entity's rows.
+    month come last. Rows of a semester that occurs more than once are all kept, ordered by their values. An entity of
+    at most `rows` rows (500 years of semesters) is one text; a longer history goes on in further parts, so that no
+    list is longer, whatever an entity's share of the panel. Rows are numbered over ranges of the sorted panel.
     """
     names = set(panel.columns)
     order = ["Ano", "Mes"] if {"Ano", "Mes"} <= names else ["Semestre_Ref"] if "Semestre_Ref" in names else []
-    fields = [F.col(f"`{c}`") for c in panel.columns if c != entity]
-    key = [x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
-    items = panel.select(entity, F.struct(*key, F.struct(*fields).alias("row")).alias("item"))
-    ordered = F.transform(F.array_sort(F.collect_list("item")), lambda i: i["row"])
-    return items.groupBy(entity).agg(
-        F.count("*").alias("n"), F.to_json(ordered, {"ignoreNullFields": "false"}).alias("payload")
-    )
-
-
-def history_parts(
-    panel: DataFrame, entity: str = "inst_hash", semesters: int = 20, repeats: int = 50
-) -> DataFrame:
-    """(entity, block, repeat, n, payload): the history in parts of at most `semesters` times `repeats` rows.
-
-    A block holds the semesters of so many half-years of the calendar (null for rows without year or month). Rows of one
-    semester are numbered by their values, in a window over this semester of this entity alone, and each `repeats` of
-    them go to the next part of the block. So no list is longer than a part, however many rows an entity has. The panel
-    needs `Ano` and `Mes`; rows within a part are ordered as in `history_payload`.
-    """
     fields = F.struct(*[F.col(f"`{c}`") for c in panel.columns if c != entity])
-    half = F.col("Ano") * 2 + F.when(F.col("Mes") <= 6, 0).when(F.col("Mes") > 6, 1)
-    rows = panel.select(
-        F.col(entity).alias("entity"), F.col("Ano").alias("year"), F.col("Mes").alias("month"), half.alias("half"), fields.alias("row")
-    )
-    numbered = rows.withColumn("no", F.row_number().over(Window.partitionBy("entity", "half").orderBy("year", "month", "row")) - 1)
-    key = [x for c in ("year", "month") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
-    items = numbered.select(
-        F.col("entity").alias(entity), F.floor(F.col("half") / semesters).alias("block"),
-        F.floor(F.col("no") / repeats).alias("repeat"), F.struct(*key, "row").alias("item"),
-    )
-    ordered = F.transform(F.array_sort(F.collect_list("item")), lambda i: i["row"])
-    return items.groupBy(entity, "block", "repeat").agg(
-        F.count("*").alias("n"), F.to_json(ordered, {"ignoreNullFields": "false"}).alias("payload")
-    )
+    key = [x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"__no{i}"), F.col(c).alias(f"__key{i}"))]
+    items = panel.select(entity, *key, fields.alias("__row"))
+    places = numbered(items, [entity], [c for c in items.columns if c != entity], "__at")
+    gathered = F.array_sort(F.collect_list(F.struct("__at", "__row")))
+    payload = F.to_json(F.transform(gathered, lambda i: i["__row"]), {"ignoreNullFields": "false"})
+    part = F.floor(F.col("__at") / rows).alias("part")
+    return places.groupBy(entity, part).agg(F.count("*").alias("n"), payload.alias("payload"))
 
 
 def user_message(history: DataFrame, entity: str = "inst_hash") -> DataFrame:
-    """(entity, mensagem): the history wrapped in a text."""
+    """(entity, part, mensagem): each part of the history wrapped in a text."""
     return history.select(
         entity,
+        "part",
         F.concat(F.lit(f"{entity}: "), F.col(entity), F.lit(f"\n\n{HEADING}\n"), F.col("payload")).alias("mensagem"),
     )

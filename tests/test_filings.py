@@ -194,6 +194,41 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert files == {"a.csv": [], "b.csv": [], "d.csv": ["cnpj", "valor"]}
 
 
+def cells(df):
+    return sorted(tuple(r) for r in df.na.fill("").collect())
+
+
+def test_csv_records_are_not_lines(spark, tmp_path):
+    """Line breaks, doubled quotes and separators in fields; the library's own files, and those of a data frame library."""
+    schema = "id string, texto string, valor double"
+    texts = ["line one\nline two", 'say "yes", twice', '"', "a;b,c", " blanks ", "crlf\r\nin it", "id", None, 'x"\n"y', "\\", '\\"']
+    table = spark.createDataFrame([(str(i), t, i / 2) for i, t in enumerate(texts)], schema)
+    for sep in (",", ";"):
+        own, other = tmp_path / f"own{ord(sep)}", tmp_path / f"other{ord(sep)}"
+        sinks.write_csv(table, str(own), sep, bom=True)
+        other.mkdir()
+        table.toPandas().to_csv(other / "x.csv", sep=sep, index=False, encoding="utf-8-sig")
+        for path in (own, other):
+            assert cells(csv_typed_scan(spark, str(path), schema, sep)) == cells(table)
+
+
+def test_rows_like_headers_stay_and_headers_are_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\n"id","a, ""b""\nc",valor\nid,"a, ""b""\nc",valor\n1,x\n2,y,2,too,many\n')
+    schema = 'id string, `a, "b"\nc` string, valor string'
+    got = csv_typed_scan(spark, str(tmp_path), schema, required=("id", "valor"))
+    assert cells(got) == [("1", "x", ""), ("2", "y", "2"), ("id", 'a, "b"\nc', "valor")]
+    header = csv_headers(spark, str(tmp_path)).first()
+    assert header.names == ["id", 'a, "b"\nc', "valor"] and header.records == 3
+
+
+def test_a_thousand_forms_of_headers(spark, tmp_path):
+    for i in range(1000):
+        names = [f"n{i}", *[f"x{j}" for j in range(i % 40)], "id", "valor"]
+        (tmp_path / f"{i}.csv").write_text(f"{','.join(names)}\n{','.join('' for _ in names[:-2])},{i},{i}.5\n")
+    got = csv_typed_scan(spark, str(tmp_path), "id string, valor double", required=("id",))
+    assert cells(got) == sorted((str(i), i + 0.5) for i in range(1000))
+
+
 def test_contract_doubts_odd_numbers_and_escaped_keys(spark):
     for broken in ('"NaN"', '"Infinity"', "1e999"):
         text = json.dumps(filing()).replace('"@unidadeMedida": 1000', f'"@unidadeMedida": {broken}')

@@ -8,7 +8,7 @@ from ledgerloom import layout, sinks
 from ledgerloom.functions.identity import cnpj8_of, hash_padded
 from ledgerloom.functions.ratios import number, percent_change, round_to, safe_divide
 from ledgerloom.operators import anonymize as A
-from ledgerloom.operators.history import history_parts, history_payload
+from ledgerloom.operators.history import history_payload
 from ledgerloom.operators.pseudonymize import pseudonym_mapping, pseudonymize
 from ledgerloom.operators.sections import schema_drift, with_record
 from ledgerloom.operators.summary import file_inventory, missing_sources, run_summary
@@ -251,9 +251,9 @@ def test_history_parts_are_bounded(spark):
     rows = [("h", 2000 + i // 2, 6 + 6 * (i % 2), None if i == 3 else i / 3) for i in range(30)]
     rows += [("h", 2024, 12, float(i)) for i in range(120)] + [("h", None, None, 1.0), ("i", 2024, 6, None)]
     panel = spark.createDataFrame(rows, "inst_hash string, Ano int, Mes int, v double")
-    got = history_parts(panel, semesters=4, repeats=10).collect()
+    got = sorted(history_payload(panel, rows=10).collect(), key=lambda r: (r.inst_hash, r.part))
     parts = [(r.inst_hash, r.n, json.loads(r.payload)) for r in got]
-    assert all(n == len(items) <= 40 for _, n, items in parts)
-    assert all(x == sorted(x) for x in ([(i["Ano"] or 9999, i["Mes"] or 0) for i in items] for _, _, items in parts))
+    assert [(r.inst_hash, r.part) for r in got] == [("h", i) for i in range(16)] + [("i", 0)]
+    assert all(n == len(items) <= 10 for _, n, items in parts)
     back = [(h, i["Ano"], i["Mes"], i["v"]) for h, _, items in parts for i in items]
-    assert sorted(back, key=repr) == sorted(rows, key=repr)
+    assert back == sorted(rows, key=lambda r: (r[0], r[1] is None, r[1], r[2], r[3] is not None, r[3]))
