@@ -134,8 +134,8 @@ def orphan_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["l_orderkey", "l_linenumber", "l_partkey"]
-    parsed = flatten.parse_documents(I.nested_filing_texts(spark, sf_dir), depth=3)
-    return flatten.flatten_accounts(parsed, None, keep=keep, depth=3)
+    parsed = flatten.parse_documents(I.nested_filing_texts(spark, sf_dir), nested=True)
+    return flatten.flatten_accounts(parsed, None, keep=keep, nested=True)
 
 
 def silver_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,11 +301,14 @@ ORACLES = {
         FROM kinds""",
     "flatten_accounts": f"WITH {_FACTS} SELECT * FROM facts",
     "flatten_nested": f"""
+        WITH levels AS (
+          SELECT k, '1' || repeat('.1', CAST(k AS INTEGER) - 1) AS nivel, pow(0.5::DOUBLE, k - 1) AS share
+          FROM range(1, {I.DEEPEST + 1}) AS r(k)
+          UNION ALL SELECT 2, '1.2', -1.0::DOUBLE)
         SELECT l_orderkey, l_linenumber, l_partkey, {pad8('l_suppkey')} AS cnpj,
                strftime(l_shipdate, '%Y') || '-12-31' AS periodo, 'BP' AS bloco, 'IND' AS escopo,
-               v.nivel, 'NIVEL ' || v.nivel AS descricao, l_extendedprice * v.share::DOUBLE AS valor
-        FROM lineitem, (VALUES ('1', 1.0), ('1.1', 0.5), ('1.1.1', 0.25)) AS v(nivel, share)
-        WHERE v.nivel <> '1.1.1' OR l_returnflag = 'R'""",
+               nivel, 'NIVEL ' || nivel AS descricao, l_extendedprice * share AS valor
+        FROM lineitem JOIN levels ON k <= l_partkey % {I.DEEPEST} + 1""",
     "orphan_refs": f"""WITH {_JUDGED}
         SELECT doc_id, 'BP' AS bloco, '2.1' AS nivel, 'IND' AS escopo, 'dt9' AS dt_base, p AS valor
         FROM judged WHERE status = 'valid' AND pr = '2-HIGH'""",

@@ -174,39 +174,41 @@ def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DEEPEST = 12
+
+
 def nested_filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, file_name, text) per line item, with accounts nested in accounts; only returned goods go deepest."""
+    """(l_orderkey, l_linenumber, l_partkey, file_name, text) per line item, with accounts in accounts, 1 to 12 levels deep.
+
+    The second level has an account beside the one that goes on, and an item that is no account.
+    """
     li = spread_table(
         spark, sf_dir, "lineitem",
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
     )
     price, year = F.col("l_extendedprice"), F.date_format("l_shipdate", "yyyy")
-
-    def nested(level: str, amount: Column, child: Column | None) -> Column:
-        fields = [
-            F.lit(level).alias("@id"),
-            F.lit(level).alias("@nivel"),
-            F.lit(f"NIVEL {level}").alias("@descricao"),
-            F.lit("").alias("@contaPai"),
-            _values(_value("dt1", amount)).alias("valoresIndividualizados"),
-        ]
-        return F.struct(*fields, child.alias("contas")) if child is not None else F.struct(*fields)
-
-    leaf = nested("1.1.1", price * 0.25, None)
-    middle = nested("1.1", price * 0.5, F.when(F.col("l_returnflag") == "R", F.array(leaf)))
-    doc = F.struct(
-        pad8(F.col("l_suppkey")).alias("@cnpj"),
-        F.lit("9011").alias("@codigoDocumento"),
-        F.lit(1).alias("@unidadeMedida"),
-        F.array(F.struct(F.lit("dt1").alias("@id"), F.concat(F.lit("A12"), year).alias("@data"))).alias(
-            "datasBaseReferencia"
-        ),
-        _block(nested("1", price, F.array(middle))).alias("BalancoPatrimonial"),
-    )
+    depth = F.col("l_partkey") % DEEPEST + 1
+
+    def account(level: str, amount: Column, below: Column) -> Column:
+        head = f'{{"@id":"{level}","@nivel":"{level}","@descricao":"NIVEL {level}","@contaPai":"",'
+        value = F.concat(F.lit('"valoresIndividualizados":[{"@dtBase":"dt1","@valor":'), amount.cast("string"), F.lit("}]"))
+        return F.concat(F.lit(head), value, below, F.lit("}"))
+
+    inner = F.lit("")
+    for k in range(DEEPEST, 0, -1):
+        items = account("1" + ".1" * (k - 1), price * 0.5 ** (k - 1), inner)
+        if k == 2:
+            items = F.concat(F.lit('"nota",'), account("1.2", -price, F.lit("")), F.lit(","), items)
+        inner = F.when(depth >= k, F.concat(F.lit(',"contas":['), items, F.lit("]"))).otherwise("")
+    dates = F.concat(F.lit('"datasBaseReferencia":[{"@id":"dt1","@data":"A12'), year, F.lit('"}]'))
+    text = F.concat(
+        F.lit('{"@cnpj":"'), pad8(F.col("l_suppkey")), F.lit('","@codigoDocumento":"9011","@unidadeMedida":1,'), dates,
+        F.lit(',"BalancoPatrimonial":{'), F.substr(inner, F.lit(2)), F.lit("}}"),
+    )
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         F.concat(month_of(F.col("l_shipdate")), F.lit("-9011-"), pad8(F.col("l_suppkey")), F.lit(".json")).alias("file_name"),
-        F.to_json(doc).alias("text"),
+        text.alias("text"),
     )
 
 

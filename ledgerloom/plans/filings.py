@@ -58,6 +58,7 @@ def run(
     Judged documents are written once and read back, so validation runs once for log and facts; the balance check
     reads the stored facts.
     """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of a key given twice the last counts
     documents = decode_documents(read_files(spark, source))
     judged = with_status(select_filings(documents, unified), rules)
     stage = f"{target}/judged"

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "ledgerloom", **conf: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

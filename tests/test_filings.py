@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import sinks
 from ledgerloom.functions.periods import parse_cutoff, tag_to_iso
-from ledgerloom.operators.flatten import allowed_dates, flatten_accounts, nesting_rejects, orphan_refs, parse_documents
+from ledgerloom.operators.flatten import allowed_dates, flatten_accounts, orphan_refs, parse_documents
 from ledgerloom.operators.contract import with_status
 from ledgerloom.operators.quality import balance_qc
 from ledgerloom.operators.replacement import dedup_replacement, filing_keys, resume_pending
@@ -66,11 +66,21 @@ def test_orphans(spark):
 def test_nested_accounts(spark):
     deep = account("1", contas=[account("1.1", contas=[account("1.1.1", scope="valoresConsolidados")]), account("1.2")])
     docs = documents(spark, filing(BalancoPatrimonial={"contas": [deep]}))
-    facts = flatten_accounts(parse_documents(docs, depth=3), None, depth=3).filter("bloco = 'BP'")
+    facts = flatten_accounts(parse_documents(docs, nested=True), None, nested=True).filter("bloco = 'BP'")
     assert rows(facts, "nivel", "escopo") == [("1", "IND"), ("1.1", "IND"), ("1.1.1", "CON"), ("1.2", "IND")]
-    shallow = parse_documents(docs, depth=1)
-    assert flatten_accounts(shallow, None, depth=1).count() == 0 and nesting_rejects(shallow, depth=1).count() == 1
-    assert nesting_rejects(parse_documents(docs, depth=3), depth=3).count() == 0
+    assert rows(flatten_accounts(parse_documents(docs), None).filter("bloco = 'BP'"), "nivel") == [("1",)]
+
+
+def test_accounts_nested_to_any_depth(spark):
+    """Depths of 1 to 60 in one table, odd items, and texts that look like the key."""
+    def chain(depth):
+        below = {} if depth == 1 else {"contas": [None, "x", chain(depth - 1), {"@nivel": f"{depth}.9", "contas": {}}]}
+        return account(str(depth), **{"@descricao": 'a "contas":[', **below})
+
+    docs = documents(spark, *[filing(BalancoPatrimonial={"contas": [chain(d), chain(1)]}) for d in (1, 2, 3, 12, 60)])
+    facts = flatten_accounts(parse_documents(docs, nested=True), None, keep=["path"], nested=True).filter("bloco = 'BP'")
+    counts = sorted(r["count"] for r in facts.groupBy("path").count().collect())
+    assert counts == [2, 3, 4, 13, 61]
 
 
 def test_balance(spark):
