@@ -65,8 +65,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Turns: (conv_id, at, total, t1, t2, chars); conversations, turnless ones too: (conv_id, total).
     """
-    spark_turns = materialise(turns, "turns")
-    sizes = spark_turns.filter("at = 0").select("conv_id", "of")
+    sizes = turns.filter("at = 0").select("conv_id", "of")
     head = F.col("conv_id") - F.col("conv_id") % FAMILY
     own = sizes.select("conv_id", "of", head.alias("head"), shared_turns(F.col("conv_id")).alias("h"))
     first = sizes.select(F.col("conv_id").alias("head"), F.col("of").alias("head_of"))
@@ -74,9 +73,9 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     plan = own.join(first, "head", "left").select("conv_id", "head", "h", taken.alias("taken"), "of")
     total = F.col("taken") + F.greatest(F.col("of") - F.col("h"), F.lit(0))
     plan = materialise(plan.select("*", total.alias("total")), "conversations")
-    rest = spark_turns.join(plan.select("conv_id", "h", "taken", "total"), "conv_id").filter("at >= h")
+    rest = turns.join(plan.select("conv_id", "h", "taken", "total"), "conv_id").filter("at >= h")
     rest = rest.select("conv_id", (F.col("at") - F.col("h") + F.col("taken")).alias("at"), "total", "t1", "t2", "chars")
-    heads = spark_turns.filter(F.col("at") < SHARED - 1).withColumnRenamed("conv_id", "head").drop("of")
+    heads = turns.filter(F.col("at") < SHARED - 1).withColumnRenamed("conv_id", "head").drop("of")
     lent = plan.filter("taken > 0").drop("of").join(heads, "head").filter("at < taken")
     lent = lent.select("conv_id", "at", "total", "t1", "t2", "chars")
     return rest.unionByName(lent), plan.select("conv_id", "total")
@@ -93,7 +92,6 @@ def blocks_of(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     ranges = stored.groupBy(PART, "conv_id").agg(F.bit_xor("h1").alias("r1"), F.bit_xor("h2").alias("r2"))
     earlier = Window.partitionBy("conv_id").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carried = ranges.select(PART, "conv_id", *[F.coalesce(F.bit_xor(r).over(earlier), F.lit(0)).alias(r) for r in ("r1", "r2")])
-    carried = materialise(carried, "carried")
     before = Window.partitionBy(PART, "conv_id").orderBy(POSITION).rowsBetween(Window.unboundedPreceding, -1)
     within = [F.coalesce(F.bit_xor(h).over(before), F.lit(0)).alias(x) for h, x in (("h1", "x1"), ("h2", "x2"))]
     joined = stored.select("*", *within).join(carried, [PART, "conv_id"])
@@ -153,7 +151,6 @@ def _sums_below(bounds: DataFrame, deepest: int) -> DataFrame:
     while reach <= deepest:
         above = sums.filter("u1 IS NOT NULL").groupBy(F.col("u1").alias("k1"), F.col("u2").alias("k2"), F.col("ub").alias("b"))
         more = above.agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
-        more = materialise(more, "sums-above")
         jump = sums.select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("b").alias("ub"), *[F.col(u).alias(f"far_{u}") for u in ("u1", "u2", "ub")])
         sums = (
             sums.join(more, ["k1", "k2", "b"], "left")
@@ -209,7 +206,7 @@ def trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK) -> Data
     conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
     """
     blocks = materialise(blocks_of(turns, block), "blocks")
-    nodes = materialise(nodes_of(blocks, block), "nodes")
+    nodes = nodes_of(blocks, block)
     zero = F.lit(0).cast("long")
     root = conversations.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0")
     root = root.select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id", "n_convs", zero.alias("chars"))
@@ -221,7 +218,7 @@ def trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK) -> Data
         F.when(inner, up["k1"]).otherwise(F.col("x1")).alias("p1"), F.when(inner, up["k2"]).otherwise(F.col("x2")).alias("p2"),
     )
     children = linked.groupBy(F.col("p_depth").alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2"))
-    children = materialise(children.agg(F.count(F.lit(1)).alias("n_children")), "children")
+    children = children.agg(F.count(F.lit(1)).alias("n_children"))
     none = F.lit(None).cast("long")
     whole = linked.unionByName(
         root.select("*", F.array().cast(linked.schema["path"].dataType).alias("path"), zero.alias("x1"), zero.alias("x2"),
@@ -235,14 +232,14 @@ def trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK) -> Data
     # sums within blocks: each node adds to its ancestors in its own block, and to the block's start
     own = whole.filter("depth > 0")
     starts = own.groupBy(F.floor((F.col("depth") - 1) / block).alias("b"), F.col("x1").alias("k1"), F.col("x2").alias("k2"))
-    starts = materialise(starts.agg(F.sum("leaf").alias("leaves"), F.sum("saved").alias("saved")), "starts")
+    starts = starts.agg(F.sum("leaf").alias("leaves"), F.sum("saved").alias("saved"))
     bounds = own.filter(F.col("depth") % block == 0).select(
         (F.col("depth") / block).cast("long").alias("b"), "k1", "k2",
         F.col("x1").alias("u1"), F.col("x2").alias("u2"), (F.col("depth") / block - 1).cast("long").alias("ub"), "path",
     )
     linked_bounds = starts.join(bounds.drop("path"), ["b", "k1", "k2"], "left")
-    deepest = starts.agg(F.max("b")).first()[0] or 0
-    below = _sums_below(linked_bounds, deepest)
+    deepest = (whole.agg(F.max("depth")).first()[0] or 1) - 1
+    below = _sums_below(linked_bounds, max(0, deepest // block))
     under = bounds.join(below.select("b", "k1", "k2", "leaves", "saved"), ["b", "k1", "k2"])
     given = own.select("depth", "path", F.col("leaf").alias("leaves"), "saved").unionByName(
         under.select((F.col("b") * block).alias("depth"), "path", "leaves", "saved")
@@ -257,13 +254,12 @@ def trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK) -> Data
     summed = summed.unionByName(
         whole_root.select(*key, F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", zero).alias("saved_tokens"))
     )
-    summed = materialise(summed, "subtrees")
 
     last = blocks.filter(F.col("total") == F.col("b") * block + F.size("turns")).select(
         F.col("total").alias("depth"), F.col("x1").bitwiseXOR(F.col("h1")).alias("k1"), F.col("x2").bitwiseXOR(F.col("h2")).alias("k2"), "conv_id"
     )
     turnless = conversations.filter("total = 0").select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id")
-    ends = materialise(digest_of_ids(last.unionByName(turnless), key), "ends")
+    ends = digest_of_ids(last.unionByName(turnless), key)
 
     parents = whole.select(F.col("depth").alias("p_depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     named = whole.join(parents, ["p_depth", "p1", "p2"], "left").join(summed, key).join(ends, key, "left")
