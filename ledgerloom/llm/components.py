@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.joins import lookup_join
 from ledgerloom.session import materialise
 
 
@@ -13,7 +14,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links of one round are written below the shared folder and read in the next, so lineage doesn't grow. Rounds go on
     until the links no longer change; their number grows with the logarithm of the nodes. Nodes with very many links are
-    only summed up and joined, never gathered.
+    only summed up and joined, never gathered; adaptive execution splits them in the joins.
     """
     stars = links.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).filter("high != low").distinct()
     stars = materialise(stars, "links")
@@ -23,9 +24,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             stars.select(F.col("low").alias("u"), F.col("high").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
+        large = lookup_join(both, least, ["u"], "inner").filter("v > u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
         lowest = large.groupBy("high").agg(F.min("low").alias("m"))
-        small = large.join(lowest, "high").select(
+        small = lookup_join(large, lowest, ["high"], "inner").select(
             F.when(F.col("low") == F.col("m"), F.col("high")).otherwise(F.col("low")).alias("high"), F.col("m").alias("low")
         )
         stars = materialise(small.distinct(), "links")
