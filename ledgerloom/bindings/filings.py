@@ -114,6 +114,38 @@ def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.schema_violations(I.filing_texts(spark, sf_dir), key="doc_id")
 
 
+def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and broken rules of filings in which one thing is changed."""
+    judged = contract.with_status(I.filing_variants(spark, sf_dir), {"202412": ["A122024"]})
+    broken = F.explode_outer(F.array_distinct("violations"))
+    return judged.select("doc_id", "variant", "status", "mensagem", broken.alias("v")).select(
+        "doc_id", "variant", "status", "mensagem", "v.path", "v.rule"
+    )
+
+
+def _named_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings with typed, dated and foreign names; some dated ones can't be read."""
+    o = I.table(spark, sf_dir, "orders")
+    priority, status, cnpj = F.col("o_orderpriority"), F.col("o_orderstatus"), I.pad8(F.col("o_custkey"))
+    typed = F.concat(cnpj, F.lit("_9011_"), F.when(priority == "2-HIGH", "S").otherwise("I"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".json"))
+    dated = F.concat(I.month_of(F.col("o_orderdate")), F.lit("-9011-"), cnpj, F.lit(".json"))
+    name = F.when(priority.isin("1-URGENT", "2-HIGH"), typed).when(priority == "5-LOW", F.concat(F.lit("copia de "), dated)).otherwise(dated)
+    head = F.to_json(F.struct(cnpj.alias("@cnpj"), F.date_format("o_orderdate", "MMyyyy").alias("@dataBase")))
+    text = F.when((priority == "3-MEDIUM") & (status == "P"), F.replace(head, F.lit('"'), F.lit("'"))).when(
+        priority.isin("1-URGENT", "2-HIGH"), "não é lido"
+    ).otherwise(head)
+    return o.select("o_orderkey", name.alias("file_name"), text.alias("text"))
+
+
+def filing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = replacement.filing_keys(_named_versions(spark, sf_dir))
+    return keyed.select("o_orderkey", "cnpj_key", "base_key", "submission")
+
+
+def filing_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replacement.filing_rejects(_named_versions(spark, sf_dir)).select("o_orderkey", "file_name", "motivo")
+
+
 def allowed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.allowed_dates(_valid(spark, sf_dir), I.RULES, key="doc_id")
 
@@ -232,6 +264,9 @@ QUERIES = {
     "fingerprint": fingerprint,
     "status_log": status_log,
     "schema_violations": schema_violations,
+    "contract_rules": contract_rules,
+    "filing_keys": filing_keys,
+    "filing_rejects": filing_rejects,
     "allowed_dates": allowed_dates,
     "resolve_period": resolve_period,
     "flatten_accounts": _facts,
@@ -255,7 +290,36 @@ named AS (
          o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' AS draft
   FROM orders)"""
 
+def _variants_sql() -> str:
+    def text(value: str | None) -> str:
+        return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+    rows = [
+        f"({i}, {text(status)}, {text(message)}, {text(path)}, {text(rule)})"
+        for i, (_, _, (status, message), broken) in enumerate(I.FILING_VARIANTS)
+        for path, rule in broken or [(None, None)]
+    ]
+    return f"""
+        SELECT o_orderkey AS doc_id, CAST(o_orderkey % {len(I.FILING_VARIANTS)} AS BIGINT) AS variant, v.status, v.mensagem, v.path, v.rule
+        FROM orders JOIN (VALUES {', '.join(rows)}) AS v(variant, status, mensagem, path, rule)
+          ON o_orderkey % {len(I.FILING_VARIANTS)} = v.variant"""
+
+
+_TYPED = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+_LOST = "o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P'"
+
 ORACLES = {
+    "contract_rules": _variants_sql(),
+    "filing_keys": f"""
+        SELECT o_orderkey, {pad8('o_custkey')} AS cnpj_key,
+               CASE WHEN {_TYPED} THEN strftime(o_orderdate, '%Y%m') ELSE strftime(o_orderdate, '%m%Y') END AS base_key,
+               CASE WHEN o_orderpriority = '2-HIGH' THEN 'S' ELSE 'I' END AS submission
+        FROM orders WHERE o_orderpriority <> '5-LOW' AND NOT ({_LOST})""",
+    "filing_rejects": f"""
+        SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'copia de ' ELSE '' END
+                 || strftime(o_orderdate, '%Y%m') || '-9011-' || {pad8('o_custkey')} || '.json' AS file_name,
+               CASE WHEN o_orderpriority = '5-LOW' THEN 'nome fora do padrão' ELSE 'JSON ilegível' END AS motivo
+        FROM orders WHERE o_orderpriority = '5-LOW' OR ({_LOST})""",
     "parse_filing_names": f"""
         SELECT o_orderkey,
                CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'typed'

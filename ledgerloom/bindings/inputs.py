@@ -174,6 +174,77 @@ def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ACCOUNT_TEXT = '{"@id":"%s","@nivel":"%s","@descricao":"CONTA","@contaPai":""%s}'
+_VALUE_TEXT = ',"valoresIndividualizados":[{"@dtBase":"dt1","@valor":10}]'
+SAMPLE_FILING = (
+    '{"@cnpj":"01234567","@codigoDocumento":"9011","@tipoRemessa":"I","@dataBase":"122024","@unidadeMedida":1000,'
+    '"datasBaseReferencia":[{"@id":"dt1","@data":"A122024"}],'
+    f'"BalancoPatrimonial":{{"contas":[{_ACCOUNT_TEXT % ("a", "1", _VALUE_TEXT)},{_ACCOUNT_TEXT % ("b", "2", "")}]}},'
+    f'"DemonstracaoDoResultado":{{"contas":[{_ACCOUNT_TEXT % ("c", "3", "")}]}},'
+    '"DemonstracaoDoResultadoAbrangente":{},'
+    f'"DemonstracaoDosFluxosDeCaixa":{{"contas":[{_ACCOUNT_TEXT % ("d", "4", "")}]}},'
+    f'"DemonstracaoDasMutacoesDoPatrimonioLiquido":{{"contas":[{_ACCOUNT_TEXT % ("e", "5", "")}]}}}}'
+)
+_BP, _DR, _REF = "BalancoPatrimonial", "DemonstracaoDoResultado", "datasBaseReferencia"
+_OK, _BAD, _OTHER, _NOT_JSON = ("valid", ""), ("invalid", "Violou schema"), ("invalid", "Não é 9011"), ("error", "JSON ilegível")
+
+#: What is changed in the sample filing, what it becomes, the status, and the broken rules.
+FILING_VARIANTS: list[tuple[str, str, tuple[str, str], list[tuple[str, str]]]] = [
+    ("@none", "", _OK, []),
+    ('"@unidadeMedida":1000', '"@unidadeMedida" : 1e3', _OK, []),
+    ('"@cnpj":', '"@cnpj":5,"@cnpj":', _OK, []),
+    ('"@nivel":"1"', '"@nivel":false,"@nivel":"1"', _OK, []),
+    ('"@valor":10', '"@valor":"x","@valor":10', _OK, []),
+    ('"@valor":10}', '"@valor":10,"nota":"x"}', _OK, []),
+    ('"', "'", _NOT_JSON, []),
+    ("CONTA", "CON\tTA", _NOT_JSON, []),
+    ("01234567", '0123"4567', _NOT_JSON, []),
+    ('"9011"', "9011", _OTHER, [("@codigoDocumento", "value")]),
+    ('"9011"', '"9311"', _OTHER, []),
+    ('"@unidadeMedida":1000', '"@unidadeMedida":NaN', _BAD, [("@unidadeMedida", "value")]),
+    ('"@unidadeMedida":1000', '"@unidadeMedida":"1000"', _BAD, [("@unidadeMedida", "value")]),
+    ('"@dataBase":"122024",', "", _BAD, [("@dataBase", "required")]),
+    ("122024", "132024", _BAD, [("@dataBase", "value"), (f"{_REF}[]", "@data")]),
+    ("01234567", "1234567", _BAD, [("@cnpj", "value")]),
+    ('"I"', '"X"', _BAD, [("@tipoRemessa", "value")]),
+    ('{"@cnpj"', '{"extra":{"a":1},"@cnpj"', _BAD, [("extra", "additionalProperties")]),
+    (f'"{_BP}"', '"Outro"', _BAD, [(_BP, "required"), ("Outro", "additionalProperties")]),
+    (f'"{_DR}":', '"DemonstracaoX":', _BAD, [(_DR, "oneOf"), ("DemonstracaoX", "additionalProperties")]),
+    ('[{"@id":"dt1","@data":"A122024"}]', "[]", _BAD, [(_REF, "minItems")]),
+    ('[{"@id":"dt1","@data":"A122024"}]', '"dt1"', _BAD, [(_REF, "type")]),
+    ('{"@id":"dt1","@data":"A122024"}', '{"@id":"dt1","@data":"A122024"},{"@data":"A122024","@id":"dt1"}', _BAD, [(_REF, "uniqueItems")]),
+    ('"@data":"A122024"', '"@data":"A122024","x":1', _BAD, [(f"{_REF}[]", "additionalProperties")]),
+    ('"@id":"dt1",', "", _BAD, [(f"{_REF}[]", "required")]),
+    ('"@nivel":"1"', '"@nivel":"1..2"', _BAD, [(f"{_BP}.contas[]", "@nivel")]),
+    ('"@nivel":"1",', "", _BAD, [(f"{_BP}.contas[].@nivel", "required")]),
+    ('"@id":"a"', '"@id":"a b"', _BAD, [(f"{_BP}.contas[]", "@id")]),
+    ('"@valor":10', '"@valor":"10"', _BAD, [(f"{_BP}.contas[].valoresIndividualizados[]", "@valor")]),
+    ('"@dtBase":"dt1",', "", _BAD, [(f"{_BP}.contas[].valoresIndividualizados[]", "required")]),
+    ('[{"@dtBase":"dt1","@valor":10}]', "[]", _BAD, [(f"{_BP}.contas[].valoresIndividualizados", "minItems")]),
+    ('{"@dtBase":"dt1","@valor":10}', '{"@dtBase":"dt1","@valor":10},{"@dtBase":"dt1","@valor":10.0}', _BAD,
+     [(f"{_BP}.contas[].valoresIndividualizados", "uniqueItems")]),
+    ('"DemonstracaoDoResultadoAbrangente":{}', '"DemonstracaoDoResultadoAbrangente":null', _BAD,
+     [("DemonstracaoDoResultadoAbrangente", "type")]),
+    ('"DemonstracaoDoResultadoAbrangente":{}', '"DemonstracaoDoResultadoAbrangente":{"x":[]}', _BAD,
+     [("DemonstracaoDoResultadoAbrangente.x", "additionalProperties")]),
+    (f'"{_BP}":', f'"{_BP}":{{}},"{_BP}":', _OK, []),
+    (f'"{_BP}":{{"contas":', f'"{_BP}":{{"linhas":', _BAD, [(f"{_BP}.contas", "required"), (f"{_BP}.linhas", "additionalProperties")]),
+]
+
+
+def filing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, variant, file_name, text): per order a filing in which one thing is changed; its CNPJ and values are the
+    order's unless they are what is changed."""
+    o = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    variant = F.col("o_orderkey") % len(FILING_VARIANTS)
+    find, put = (F.array(*[F.lit(v[i]) for v in FILING_VARIANTS]) for i in (0, 1))
+    text = F.replace(F.lit(SAMPLE_FILING), F.get(find, F.col("variant").cast("int")), F.get(put, F.col("variant").cast("int")))
+    own = F.replace(text, F.lit('"01234567"'), F.concat(F.lit('"'), pad8(F.col("o_custkey")), F.lit('"')))
+    return o.select(F.col("o_orderkey").alias("doc_id"), "o_custkey", variant.alias("variant")).select(
+        "doc_id", "variant", F.concat(F.lit("202412-9011-"), pad8(F.col("o_custkey")), F.lit(".json")).alias("file_name"), own.alias("text")
+    )
+
+
 DEEPEST = 12
 
 

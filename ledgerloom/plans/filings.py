@@ -13,7 +13,8 @@ from ledgerloom.functions.names import filing_name
 from ledgerloom.operators.contract import with_status
 from ledgerloom.operators.flatten import flatten_accounts
 from ledgerloom.operators.quality import balance_qc
-from ledgerloom.operators.replacement import dedup_replacement, filing_keys
+from ledgerloom.operators.replacement import filing_keys, filing_rejects, replaced_filings
+from ledgerloom.session import materialise
 from ledgerloom.sources.documents import decode_documents, read_files
 from ledgerloom.sources.tables import silver_scan
 
@@ -26,9 +27,14 @@ class FilingTables:
 
 
 def select_filings(documents: DataFrame, unified: bool = False) -> DataFrame:
-    """Documents to process: one version per institution and base date. `unified` also takes the prefix from the base."""
+    """Documents to process: one version per institution and base date. `unified` also takes the prefix from the base.
+
+    A first reading finds the keys and stores the paths of replaced versions, a short list; a second one leaves them out.
+    """
     keyed = filing_keys(documents, unified)
-    chosen = dedup_replacement(keyed, order="path").drop("cnpj_key", "base_key", "submission")
+    keys = ("cnpj_key", "base_key", "submission")
+    gone = materialise(replaced_filings(keyed.select(*keys, "path"), order="path"), "replaced")
+    chosen = keyed.drop(*keys).join(gone, "path", "left_anti")
     return chosen.withColumn("prefix", filing_name(F.col("file_name"))["base"]) if unified else chosen
 
 
@@ -53,7 +59,7 @@ def run(
     table: str | None = None,
     unified: bool = False,
 ) -> FilingTables:
-    """Read `source`, write silver, run log and balance check below `target`.
+    """Read `source`, write silver, run log, rejected files and balance check below `target`.
 
     Judged documents are written once and read back, so validation runs once for log and facts; the balance check
     reads the stored facts.
@@ -66,6 +72,8 @@ def run(
     stored = spark.read.parquet(stage)
     status = stored.select(F.col("file_name").alias("arquivo"), "status", "mensagem")
     sinks.write_csv(status, f"{target}/runtime_log")
+    rejects = filing_rejects(documents).select(F.col("file_name").alias("arquivo"), "motivo")
+    sinks.write_csv_if_any(rejects, f"{target}/rejeitados")
     facts = flatten_accounts(stored.filter(F.col("status") == "valid"), rules)
     sinks.write_silver(facts, f"{target}/silver")
     silver = silver_scan(spark, f"{target}/silver")
