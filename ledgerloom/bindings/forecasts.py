@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import sinks
 from ledgerloom.bindings import inputs as I
 from ledgerloom.bindings.filings import pad8
 from ledgerloom.bindings.panels import entity_hash, factor, rounded
@@ -14,6 +15,8 @@ from ledgerloom.operators import forecasts as FC
 from ledgerloom.operators import scorecard as SC
 from ledgerloom.operators.joins import lookup_join
 from ledgerloom.operators.summary import prediction_stats as prediction_stats_of
+from ledgerloom.session import new_table_path
+from ledgerloom.sources import tables as T
 
 # --- queries ---------------------------------------------------------------------------------------------------
 
@@ -42,6 +45,7 @@ def _card(spark: SparkSession, sf_dir: str) -> DataFrame:
         I.user_mapping(spark, sf_dir),
         I.user_dataset(spark, sf_dir),
         I.user_panel(spark, sf_dir),
+        I.MODELS,
         order="path",
     )
 
@@ -51,8 +55,31 @@ def parse_prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = FC.clean_responses(I.response_texts(spark, sf_dir))
-    return cleaned.select("event_id", F.col("payload").isNotNull().alias("ok"), "error")
+    """All that responses hold once they are parsed, or why they can't be."""
+    cleaned = FC.payload_fields(FC.clean_responses(I.response_texts(spark, sf_dir)))
+    fields = ("resultado", "viabilidade", "semestre_alvo", "faixa_bruta")
+    return cleaned.select("event_id", F.col("payload").isNotNull().alias("ok"), "error", *fields)
+
+
+def forecast_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts by hash as a map from model to cell, whichever models there are."""
+    cells = SC.forecast_cells(_predictions(spark, sf_dir), "path", ("resultado_celula", "faixa_bruta"))
+    return cells.select("inst_hash", F.explode("cells").alias("modelo", "c")).select("inst_hash", "modelo", "c.*")
+
+
+def scorecard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorecard written as CSV and read back."""
+    path, card = new_table_path(spark, "scorecard"), _card(spark, sf_dir)
+    sinks.write_csv(card, path, ";", bom=True)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in card.schema.fields)
+    return T.csv_typed_scan(spark, path, kinds, ";")
+
+
+def prediction_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of responses, written with success and error apart and read back."""
+    path = new_table_path(spark, "responses")
+    sinks.write_predictions(prediction_status(spark, sf_dir), path)
+    return spark.read.schema("event_id bigint, arquivo string, error string, success boolean").parquet(path)
 
 
 def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +122,7 @@ def latest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pivot_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ("inst_hash", "provider", "model", "path", "resultado_celula", "faixa_real")
-    return SC.pivoted_texts(_ranged(spark, sf_dir).select(*fields), order="path")
+    return SC.pivoted_texts(_ranged(spark, sf_dir).select(*fields), I.MODELS, order="path")
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +162,9 @@ def prediction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "parse_prediction_files": parse_prediction_files,
     "clean_responses": clean_responses,
+    "forecast_cells": forecast_cells,
+    "scorecard_store": scorecard_store,
+    "prediction_store": prediction_store,
     "payload_fields": payload_fields,
     "extract_ranges": extract_ranges,
     "parse_locale_number": parse_locale_number,
@@ -151,12 +181,7 @@ QUERIES = {
 
 # --- the same in SQL -------------------------------------------------------------------------------------------
 
-_MODELS = [
-    f"{k}_{m}"
-    for k in ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
-    for m in ("alpha-1.5", "beta", "gamma")
-    if (k, m) != ("ERROR", "alpha-1.5")  # cheap error events are all unusable
-]
+_MODELS = I.MODELS
 
 _EVENTS = f"""
 base AS (
@@ -264,7 +289,20 @@ ORACLES = {
     "parse_prediction_files": f"""WITH {_EVENTS}
         SELECT event_id, CASE WHEN usable THEN inst_hash END AS inst_hash, CASE WHEN usable THEN kind END AS provider,
                CASE WHEN usable THEN model END AS model, usable FROM spans""",
-    "clean_responses": f"WITH {_EVENTS} SELECT event_id, error IS NULL AS ok, error FROM spans",
+    "clean_responses": f"""WITH {_EVENTS}
+        SELECT event_id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN resultado END AS resultado,
+               CASE WHEN error IS NULL THEN viabilidade END AS viabilidade,
+               CASE WHEN error IS NULL THEN '2024-S1' END AS semestre_alvo,
+               CASE WHEN error IS NULL AND k < 90 THEN span_text END AS faixa_bruta FROM spans""",
+    "forecast_cells": f"""WITH {_EVENTS}
+        SELECT inst_hash, col AS modelo, arg_min(resultado_celula, event_id) AS resultado_celula,
+               arg_min(struct_pack(f := faixa_bruta), event_id).f AS faixa_bruta
+        FROM predictions GROUP BY inst_hash, col""",
+    "scorecard_store": f"WITH {_CARD} SELECT * REPLACE (nullif(CNPJ8, '') AS CNPJ8) FROM card",
+    "prediction_store": f"""WITH {_EVENTS}
+        SELECT event_id, inst_hash || '_' || kind || '-' || model
+               || CASE WHEN error IS NULL THEN '.json' ELSE '.error.json' END AS arquivo,
+               error IS NULL AS success, error FROM spans""",
     "payload_fields": f"""WITH {_EVENTS}
         SELECT event_id, resultado, viabilidade, semestre_alvo, faixa_bruta, resultado_celula FROM predictions""",
     "extract_ranges": f"WITH {_EVENTS} SELECT event_id, low, high FROM spans",

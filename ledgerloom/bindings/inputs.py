@@ -474,6 +474,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- forecasts: one response per event -------------------------------------------------------------------------
 
 
+MODELS = [
+    f"{kind}_{model}"
+    for kind in ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
+    for model in ("alpha-1.5", "beta", "gamma")
+    if (kind, model) != ("ERROR", "alpha-1.5")  # cheap error events are all unusable
+]
+
+
 def _cents(value: Column) -> Column:
     return F.rint(value * 100.0).cast("bigint")
 

@@ -13,7 +13,7 @@ from ledgerloom.functions import variants as V
 from ledgerloom.functions.identity import cnpj8_of
 from ledgerloom.operators import anonymize as A
 from ledgerloom.operators import history, pseudonymize, scorecard, sections, summary
-from ledgerloom.plans.anonymisation import run_pseudonyms
+from ledgerloom.plans.anonymisation import anonymised_tables, run_pseudonyms
 from ledgerloom.plans.panel import panel_from_extractions
 from ledgerloom.session import new_table_path
 from ledgerloom.sources import tables as T
@@ -221,7 +221,7 @@ def panel_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel written per institution and found again."""
     path = new_table_path(spark, "panels")
     sinks.write_panel(_with_notes(spark, sf_dir), path)
-    return T.discover_panels(spark, path).drop("path")
+    return T.discover_panels(spark, path).drop("path", "ordem")
 
 
 def mapping_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,6 +374,49 @@ def pseudonym_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.csv_typed_scan(spark, f"{path}/out", "inst_hash string, id bigint, valor double")
 
 
+def pseudonym_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The private mapping of the job, read back."""
+    path = new_table_path(spark, "pseudonyms")
+    run_pseudonyms(_plain_facts(spark, sf_dir), f"{path}/out", f"{path}/private", I.SALT, I.SECRET)
+    return T.csv_typed_scan(spark, f"{path}/private", "inst_hash string, cnpj string, k_multiplier double")
+
+
+def anonymisation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymised_tables(I.panel(spark, sf_dir), *I.EARLY_CUTOFF, _S).summary
+
+
+def _institution_files(spark: SparkSession, sf_dir: str) -> str:
+    """CSVs of institutions, of which some have none, others lack a column, hold no number, or can't be read."""
+    path = new_table_path(spark, "institutions")
+    kind, net = F.col("CNPJ8").cast("int") % 7, "Contas__Lucro_Liquido"
+    panel = I.panel(spark, sf_dir)
+    texts = panel.withColumn(net, F.when(kind == 5, "sem valor").otherwise(F.col(net).cast("string")))
+    sinks.write_panel(texts.filter(kind.isin(0, 5, 6)), f"{path}/a")
+    sinks.write_panel(panel.filter(kind == 1).drop("Semestre_Ref"), f"{path}/b")
+    sinks.write_panel(panel.filter(kind == 2).drop(net), f"{path}/c")
+    broken = panel.filter(kind == 4).select(F.concat("Semestre_Ref", F.lit(";1;2")).alias("Semestre_Ref;x"), F.col("CNPJ8").alias("inst"))
+    broken.write.partitionBy("inst").option("header", "true").csv(f"{path}/d")
+    return path
+
+
+def truth_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of one semester by institution from its CSV, or the reason why there is none."""
+    path, cnpj = _institution_files(spark, sf_dir), I.pad8(F.col("c_custkey"))
+    institutions = I.table(spark, sf_dir, "customer").select(cnpj.alias("inst_hash"), cnpj.alias("CNPJ8"))
+    target = F.lit(f"{I.CUTOFF[0]}-S{I.CUTOFF[1]}")
+    return scorecard.ground_truth(institutions, T.truth_scan(spark, path), target, T.truth_files(spark, path))
+
+
+def panel_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found in the institutions' CSVs; the fingerprint is checked for its form."""
+    found = T.panel_inputs(spark, _institution_files(spark, sf_dir))
+    good = F.col("legivel") & (F.size("missing") == 0)
+    return found.groupBy("CNPJ8").agg(
+        F.sum("records").alias("registros"), F.bool_and(good).alias("lido"),
+        F.bool_and(F.col("sha256_16").rlike("^[0-9a-f]{16}$")).alias("impresso"),
+    )
+
+
 def pseudonymize_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize.pseudonymize(_plain_facts(spark, sf_dir), I.SALT, I.SECRET, noise=0.02, noise_key=["id"])
 
@@ -440,6 +483,10 @@ QUERIES = {
     "user_message": user_message,
     "pseudonymize_v1": pseudonymize_v1,
     "pseudonym_csv": pseudonym_csv,
+    "pseudonym_store": pseudonym_store,
+    "anonymisation_summary": anonymisation_summary,
+    "truth_reasons": truth_reasons,
+    "panel_inputs": panel_inputs,
     "pseudonymize_noise": pseudonymize_noise,
     "pseudonym_mapping": pseudonym_mapping,
     "normalize_ids": normalize_ids,
@@ -592,6 +639,38 @@ ORACLES = {
     "pseudonym_csv": f"""
         SELECT sha256('{I.SALT}' || {pad8('o_custkey')}) AS inst_hash, o_orderkey AS id,
                o_totalprice * {_PSEUDO_FACTOR} AS valor FROM orders""",
+    "pseudonym_store": f"""
+        SELECT DISTINCT sha256('{I.SALT}' || {pad8('o_custkey')}) AS inst_hash, {pad8('o_custkey')} AS cnpj,
+               {_PSEUDO_FACTOR} AS k_multiplier FROM orders""",
+    "anonymisation_summary": f"""WITH {_PANEL},
+        kept AS (SELECT * FROM panel WHERE {_ordinal(I.EARLY_CUTOFF)})
+        SELECT (SELECT count(DISTINCT CNPJ8) FROM panel) AS instituicoes_encontradas,
+               (SELECT count(DISTINCT CNPJ8) FROM kept) AS instituicoes_incluidas,
+               (SELECT count(DISTINCT CNPJ8) FROM panel) - (SELECT count(DISTINCT CNPJ8) FROM kept)
+                 AS instituicoes_sem_dados,
+               (SELECT count(*) FROM panel) AS linhas_antes_corte, (SELECT count(*) FROM kept) AS linhas_apos_corte,
+               '{I.EARLY_CUTOFF[0]}-S{I.EARLY_CUTOFF[1]}' AS corte, {_S.seed} AS seed,
+               substr(sha256('{I.SALT}'), 1, 16) AS salt_sha256, {_S.factor_min}::DOUBLE AS fator_min,
+               {_S.factor_max}::DOUBLE AS fator_max, {_S.noise_min}::DOUBLE AS ruido_min, {_S.noise_max}::DOUBLE AS ruido_max,
+               {_S.digits} AS casas_decimais""",
+    "truth_reasons": f"""WITH {_PANEL},
+        asked AS (SELECT {pad8('c_custkey')} AS CNPJ8, c_custkey % 7 AS kind FROM customer),
+        looked AS (
+          SELECT a.*, EXISTS (SELECT 1 FROM panel p WHERE p.CNPJ8 = a.CNPJ8) AND kind <> 3 AS there,
+                 r.CNPJ8 IS NOT NULL AS hit, r.Contas__Lucro_Liquido AS v
+          FROM asked a LEFT JOIN panel r ON r.CNPJ8 = a.CNPJ8 AND r.Semestre_Ref = '{I.CUTOFF[0]}-S{I.CUTOFF[1]}')
+        SELECT CNPJ8 AS inst_hash, CNPJ8, '{I.CUTOFF[0]}-S{I.CUTOFF[1]}' AS Semestre_Alvo,
+               CASE WHEN NOT there THEN 'N/A (arquivo ' || CNPJ8 || '.csv não encontrado)'
+                    WHEN kind = 4 THEN 'N/A (erro ao ler CSV)' WHEN kind = 1 THEN 'N/A (CSV sem coluna Semestre_Ref)'
+                    WHEN NOT hit THEN 'N/A ({I.CUTOFF[0]}-S{I.CUTOFF[1]} ainda não disponível)'
+                    WHEN kind = 2 THEN 'N/A (CSV sem coluna Contas__Lucro_Liquido)'
+                    WHEN kind = 5 THEN 'N/A ({I.CUTOFF[0]}-S{I.CUTOFF[1]} com valor inválido)'
+                    WHEN v > 0 THEN 'Lucro' WHEN v < 0 THEN 'Prejuízo' ELSE 'Neutro (zero)' END AS Real_Resultado,
+               CASE WHEN there AND hit AND kind IN (0, 6) THEN v END AS Real_Lucro_Liquido
+        FROM looked""",
+    "panel_inputs": f"""WITH {_PANEL}
+        SELECT CNPJ8, count(*) AS registros, CAST(CNPJ8 AS BIGINT) % 7 NOT IN (1, 4) AS lido, TRUE AS impresso
+        FROM panel WHERE CAST(CNPJ8 AS BIGINT) % 7 <> 3 GROUP BY CNPJ8""",
     "pseudonymize_noise": f"""
         SELECT sha256('{I.SALT}' || {pad8('o_custkey')}) AS inst_hash, o_orderkey AS id,
                o_totalprice * {_PSEUDO_FACTOR}

@@ -11,6 +11,7 @@ from ledgerloom import sinks
 from ledgerloom.operators import anonymize as A
 from ledgerloom.operators.pseudonymize import pseudonym_mapping, pseudonymize
 from ledgerloom.operators.summary import run_summary
+from ledgerloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -28,17 +29,40 @@ def anonymised_tables(panel: DataFrame, year: int, semester: int, s: A.Settings)
             "corte": F.lit(f"{year}-S{semester}"),
             "seed": F.lit(s.seed),
             "salt_sha256": F.substring(F.sha2(F.lit(s.salt), 256), 1, 16),
+            "fator_min": F.lit(s.factor_min),
+            "fator_max": F.lit(s.factor_max),
+            "ruido_min": F.lit(s.noise_min),
+            "ruido_max": F.lit(s.noise_max),
+            "casas_decimais": F.lit(s.digits),
         }
     )
     return AnonymisedTables(A.anonymized_panel(transformed), A.audit_mapping(transformed), summary)
 
 
-def run(panel: DataFrame, target: str, private: str, year: int, semester: int, s: A.Settings) -> AnonymisedTables:
-    """Dataset and summary go to `target`, the mapping to the separate `private` path."""
+def run(
+    panel: DataFrame, target: str, private: str, year: int, semester: int, s: A.Settings, inputs: DataFrame | None = None
+) -> AnonymisedTables:
+    """Dataset and summary go to `target`, the mapping to the separate `private` path.
+
+    `inputs` (see `panel_inputs`) adds the malformed files to the summary, and a table of all files with their
+    fingerprints. Nothing is written or replaced if the panel has no row, or none inside the cutoff.
+    """
     tables = anonymised_tables(panel, year, semester, s)
+    summary = tables.summary
+    if inputs is not None:
+        stored = materialise(inputs.select("CNPJ8", "path", "sha256_16", (F.col("legivel") & (F.size("missing") == 0)).alias("lido")), "inputs")
+        summary = summary.crossJoin(stored.agg(F.count_if(~F.col("lido")).alias("csvs_malformados")))  # one row each
+    summary = materialise(summary, "summary")
+    counts = summary.first()
+    if not counts["linhas_antes_corte"]:
+        raise ValueError("the panel has no rows")
+    if not counts["linhas_apos_corte"]:
+        raise ValueError(f"no institution has rows up to {year}-S{semester}")
     sinks.write_sorted(tables.dataset, f"{target}/dataset", ["inst_hash", "Ano", "Mes"])
     sinks.write_csv(tables.mapping, f"{private}/mapping", ";", bom=True)
-    sinks.write_csv(tables.summary, f"{target}/resumo", ";")
+    sinks.write_csv(summary, f"{target}/resumo", ";")
+    if inputs is not None:
+        sinks.write_csv(stored.orderBy("path"), f"{target}/entradas", ";")
     return tables
 
 

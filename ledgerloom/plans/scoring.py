@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import sinks
-from ledgerloom.operators.forecasts import clean_responses, payload_fields
+from ledgerloom.operators.forecasts import clean_responses, payload_fields, prediction_status
 from ledgerloom.operators.scorecard import accuracy_tally, scorecard
 from ledgerloom.session import materialise
-from ledgerloom.sources.tables import mapping_scan, read_prediction_files
+from ledgerloom.sources.tables import csv_typed_scan, mapping_scan, read_prediction_files, truth_files, truth_scan
 
 
 def usable_predictions(files: DataFrame) -> DataFrame:
@@ -19,20 +19,35 @@ def usable_predictions(files: DataFrame) -> DataFrame:
 
 
 def run(
-    spark: SparkSession, responses: str, mapping: str, dataset: str, truth: DataFrame, target: str, run_id: str
+    spark: SparkSession,
+    responses: str,
+    mapping: str,
+    dataset: str,
+    truth: DataFrame | str,
+    target: str,
+    run_id: str,
+    models: list[str] | None = None,
 ) -> DataFrame:
-    """Write the scorecard and its tally below `target/run=<run_id>`."""
-    predictions = materialise(usable_predictions(read_prediction_files(spark, responses)), "predictions")
+    """Write the scorecard, its tally and the status of all responses below `target/run=<run_id>`.
+
+    `truth` is a panel, or the folder of the institutions' CSVs, whose problems are then named as reasons.
+    """
+    files = read_prediction_files(spark, responses)
+    predictions = materialise(usable_predictions(files), "predictions")
     if predictions.isEmpty():
         raise ValueError(f"no usable response in {responses}")
-    card = scorecard(predictions, mapping_scan(spark, mapping), panel_like(spark, dataset), truth)
+    panel = truth_scan(spark, truth) if isinstance(truth, str) else truth
+    found = truth_files(spark, truth) if isinstance(truth, str) else None
+    card = scorecard(predictions, mapping_scan(spark, mapping), panel_like(spark, dataset), panel, models, files=found)
     place = f"{target}/run={run_id}"
     sinks.write_csv(card, f"{place}/scorecard", ";", bom=True)
     sinks.write_csv(accuracy_tally(card), f"{place}/tally", ";")
+    status = prediction_status(clean_responses(files.filter("usable")), keep=("path", "inst_hash", "provider", "model"))
+    sinks.write_predictions(status, f"{place}/responses")
     return card
 
 
 def panel_like(spark: SparkSession, path: str) -> DataFrame:
     """Year and month of a dataset CSV, whatever its other columns."""
-    return spark.read.option("header", "true").option("sep", ";").csv(path).select("Ano", "Mes")
+    return csv_typed_scan(spark, path, "Ano int, Mes int", ";")
 
