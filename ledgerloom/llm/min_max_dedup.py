@@ -9,16 +9,23 @@ Each permutation gives two values of a document, the smallest and the largest, s
    copied from. Members are laid beside the head; pairs whose sizes or sketches (four bits of each signature value) rule
    the threshold out are left, the others confirmed on full shingle sets. Members far from the head get a second one.
 3. Links that don't go through a head: nodes close to the same head but in different components are compared on full
-   sets in blocks, which return only the links that connect something; pairs of a band that have no head in common pass
-   the bounds of size and sketch and are then confirmed one by one. So every pair of a band is either in one component
-   already or is decided on full sets, without all pairs of a large group being made.
-4. Connected components of the confirmed links.
+   sets in blocks, which return only the links that connect something.
+4. Members far from both heads: in a band with at most `FEW` of them each is laid beside all members, and what passes the
+   bounds of size and sketch is confirmed one by one. In other bands (documents that share a template, say) members are
+   compared by their rare shingles: of two sets at the threshold, the rarest quarter of one (and one more) shares a
+   shingle with that of the other. That is exact, and shingles of a template are rare in no set that has others. Groups
+   of a rare shingle with more than `FEW` members go through blocks as in step 3.
+5. Connected components of the confirmed links.
+
+So every pair of a band is either in one component already or is decided on full sets, without all pairs of a large
+group being made.
 
 The sketch rules out a pair at the threshold with a probability of about one in 10 million. All joins are equi-joins on
 bands or nodes, which adaptive execution splits; nothing is capped and nothing is gathered by group.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing; shorter texts than the shingle
-are one shingle; rows that share a doc_id count as one document; rows without doc_id are linked with nothing and stay;
+are one shingle; long texts are taken whole, a text without blanks being one word; rows that share a doc_id count as one
+document; rows without doc_id are linked with nothing and stay; ties are no matter, as links and components are sets;
 input columns that clash with results are replaced; an empty table gives an empty result.
 """
 
@@ -34,6 +41,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.components import components
 from ledgerloom.llm.text import packed, unpack
 from ledgerloom.llm.word_arrays import Words, chunks, mix, runs
+from ledgerloom.operators.joins import lookup_join
 from ledgerloom.session import materialise
 
 SHINGLE, PERCENT = 5, 75
@@ -183,25 +191,32 @@ def _link_block(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
 
-BLOCK = 1000
+#: Sets in a side of a block, and shingles in all of them.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+FEW = 64
 
 
 def _links_within(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of a group (head, node) that have different roots.
 
-    All but the members of the group's main root are compared with every member, in blocks of `BLOCK` by `BLOCK`, so
-    neither a task nor the result grows with the square of a group.
+    All but the members of the group's main root are compared with every member, in blocks of about `BLOCK` by `BLOCK`
+    sets, or fewer where sets are large, so neither a task nor the result grows with the square of a group.
     """
+    sizes = sets.select("node", F.size("shingles").alias("size"))
     rooted = groups.join(roots, "node", "left").select("head", "node", F.coalesce("root", "node").alias("root"))
-    counted = rooted.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"))
+    rooted = rooted.join(sizes, "node")
+    counted = rooted.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     main = counted.groupBy("head").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")
-    )
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.filter("most < all").select(
-        "head", "main", blocks(F.col("all") - F.col("most")).alias("lefts"), blocks(F.col("all")).alias("rights")
-    )
-    placed = materialise(rooted.join(materialise(main, "mixed-groups"), "head"), "mixed-members")
+        F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("main"),
+        F.sum("n").alias("all"), F.sum("size").alias("size"),
+    )
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    main = main.filter("main.n < all").select(
+        "head", F.col("main.root").alias("main"),
+        blocks(F.col("all") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("lefts"),
+        blocks(F.col("all"), F.col("size")).alias("rights"),
+    )
+    placed = materialise(rooted.drop("size").join(materialise(main, "mixed-groups"), "head"), "mixed-members")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.filter("root != main").select(
@@ -214,6 +229,36 @@ def _links_within(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
     return full.groupBy("head", "i", "j").applyInArrow(_link_block, "a bigint, b bigint")
 
 
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """(s, node): those of each set's shingles by which it meets every set that is similar enough.
+
+    Shingles are ordered by how many sets have them, rarest first. Two sets with `PERCENT` of their union in common share
+    one of the first `size - ceil(PERCENT / 100 * size) + 1`. Shingles of one set alone meet none, but take up places.
+    """
+    tokens = sets.select("node", F.explode("shingles").alias("s"))
+    shared = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    known = lookup_join(tokens, shared, ["s"], "inner").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("known"))
+    size = F.size("shingles")
+    places = size - F.ceil(size * PERCENT / F.lit(100)).cast("int") + 1 - (size - F.size("known"))
+    first = F.slice("known", F.lit(1), F.greatest(places, F.lit(0)))
+    return sets.join(known, "node").select("node", F.explode(F.transform(first, lambda k: k["s"])).alias("s"))
+
+
+def _links_by_rare_shingles(nodes: DataFrame, marked: DataFrame, roots: DataFrame, base: DataFrame) -> DataFrame:
+    """Links between nodes of different roots, found by their rare shingles."""
+    sets = _shingles_of(nodes, base)
+    rare = materialise(_rare_shingles(sets), "rare-shingles")
+    groups = rare.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = lookup_join(rare, groups, ["s"], "inner").join(marked.drop("reach"), "node").join(roots, "node", "left")
+    placed = materialise(placed.withColumn("root", F.coalesce("root", "node")), "placed-rare")
+    few, many = placed.filter(F.col("n") <= FEW), placed.filter(F.col("n") > FEW)
+    one, two = ([F.col(c).alias(f"{c}_{side}") for c in ("node", "of", "root")] for side in "ab")
+    pairs = few.select("s", *one).join(few.select("s", *two), "s").filter("node_a < node_b AND root_a != root_b")
+    pairs = pairs.filter(_close("of_a", "of_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    links = _confirmed(materialise(pairs, "rare-pairs"), sets)
+    return links.unionByName(_links_within(many.select(F.col("s").alias("head"), "node"), roots, sets))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of documents."""
     base = packed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -274,12 +319,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         & ~(F.col("near_second_a") & F.col("near_second_b"))
         & (F.col("near_b") | (F.col("node_a") < F.col("node_b")))
     )
-    far = placed.filter("NOT near").select("band", *one).join(placed.select("band", *two), "band")
+    crowded = placed.groupBy("band").agg(F.count_if(~F.col("near")).alias("n")).filter(F.col("n") > FEW)
+    crowded = materialise(crowded.select("band"), "crowded-bands")
+    calm = placed.join(crowded, "band", "left_anti")
+    far = calm.filter("NOT near").select("band", *one).join(calm.select("band", *two), "band")
     far = far.filter(apart & _close("of_a", "of_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     far = materialise(far.distinct(), "far-pairs")
     if not far.isEmpty():
         ends = far.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         within = within.unionByName(_confirmed(far, _shingles_of(ends, base)))
+    if not crowded.isEmpty():
+        nodes_in = placed.join(crowded, "band", "left_semi").select("node").distinct()
+        within = within.unionByName(materialise(_links_by_rare_shingles(nodes_in, marked, roots, base), "rare-links"))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(within), "a", "b")
 
     rows = signatures.select("doc_id", "set1", "set2", "size")
