@@ -1,7 +1,8 @@
 """Encoding and decoding with a SentencePiece model as a weighted transducer.
 
-Compiling reads the model once: the normaliser (blanks become the mark of a word's start, and one is put in front), an
-arc for each piece, and arcs of single bytes for characters without a piece. An input is composed with it as a lattice:
+Compiling reads the model once: the normaliser (its character map as a transducer of prefixes, longest first; blanks
+become the mark of a word's start, one is put in front, runs and ends are squeezed if the model says so), an arc for each
+piece, and arcs of single bytes for characters without a piece. An input is composed with it as a lattice:
 states are positions with the piece that led there, arcs are pieces with weights in the tropical semiring (weights are
 added along a path, the least path counts).
 
@@ -10,16 +11,21 @@ added along a path, the least path counts).
   by infinity otherwise. The encoding by merges is the one path whose neighbours all fit, so it is the only path of
   finite weight, and each position has at most one state of finite weight.
 
-No piece has a word mark behind another character, so words are independent inputs; their paths are remembered in a
-dictionary of bounded size. Documents are encoded where they lie; nothing is shuffled.
+No piece has a word mark behind another character, so words (with the run of blanks before them) are independent inputs;
+their paths are remembered in a dictionary of bounded size. Documents are encoded where they lie; nothing is shuffled.
+The search takes time in proportion to the text, words and runs of blanks of any length included.
 
-Defined cases: a null text is an empty one; an empty text has no ids; repeated rows are encoded one by one; the mark
+Models with user-defined pieces, with marks at the end of words or inside pieces, and merge models with unused pieces are
+refused when they are compiled.
+
+Defined cases: of paths of equal weight the one found first is taken, which starts with the longer piece; a null text is an empty one; an empty text has no ids; repeated rows are encoded one by one; the mark
 itself in a text reads as a blank, so such a text doesn't come back; input columns named like a result are replaced; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 from collections.abc import Iterator
 
@@ -88,19 +94,74 @@ class Model:
                 self.prefix, self.squeeze, self.escape = (bool(own.get(k, 1)) for k in (3, 4, 5))
         if self.kind not in (UNIGRAM, MERGES):
             raise ValueError("only unigram and merge models are supported")
-        if charsmap or self.squeeze or not self.escape:
-            raise ValueError("only the identity normaliser that keeps all blanks is supported")
-        if USER_DEFINED in self.types or UNUSED in self.types:
-            raise ValueError("user-defined and unused pieces are not supported")
+        self.charsmap = charsmap
+        if not self.escape:
+            raise ValueError("models that keep blanks as they are are not supported")
+        if USER_DEFINED in self.types or (UNUSED in self.types and self.kind == MERGES):
+            raise ValueError("user-defined pieces, and unused ones of merge models, are not supported")
         if any(MARK in p.lstrip(MARK) for p, t in zip(self.pieces, self.types, strict=True) if t == NORMAL):
             raise ValueError("a piece spans two words")
 
 
+class Normaliser:
+    """The character map as a transducer from prefixes of a text to what replaces them, then blanks.
+
+    The map is a trie in an array of 32-bit units: bits 0 to 7 and 31 hold the label, bit 8 tells that a value follows,
+    and the rest, shifted by 8 if bit 9 is set, is the exclusive-or distance to the children. A value is the place of
+    the replacement in a block of zero-ended strings.
+    """
+
+    def __init__(self, model: Model):
+        self.prefix, self.squeeze = model.prefix, model.squeeze
+        self.units, self.strings = np.zeros(0, np.uint32).tolist(), b""
+        if model.charsmap:
+            size = int.from_bytes(model.charsmap[:4], "little")
+            self.units = np.frombuffer(model.charsmap[4 : 4 + size], "<u4").tolist()
+            self.strings = model.charsmap[4 + size :]
+        self.same = not self.units and not self.squeeze  # nothing but blanks is changed
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """Length and replacement of the longest mapped prefix."""
+        found, place = None, (self.units[0] >> 10) << ((self.units[0] & 512) >> 6)
+        for end in range(at, len(data)):
+            place ^= data[end]
+            unit = self.units[place]
+            if unit & 0x800000FF != data[end]:
+                break
+            place ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                value = self.units[place] & 0x7FFFFFFF
+                found = end + 1 - at, self.strings[value : self.strings.index(0, value)]
+        return found
+
+    def mapped(self, text: str) -> str:
+        if not self.units:
+            return text
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            found = self._longest(data, at)
+            if found is None:
+                first = data[at]
+                size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                found = size, data[at : at + size]
+            out.append(found[1])
+            at += found[0]
+        return b"".join(out).decode("utf-8", "replace")
+
+    def __call__(self, text: str) -> str:
+        """The text with blanks in place of marks, and a blank in front where the model asks for one."""
+        text = self.mapped(text.replace(MARK, " ") if not self.units else text).replace(MARK, " ")
+        if self.squeeze:
+            text = " ".join(part for part in text.split(" ") if part)
+        return " " + text if self.prefix and text else text
+
+
 class Transducer:
     """A compiled model."""
 
     def __init__(self, data: bytes):
         model = self.model = Model(data)
+        self.normalise = Normaliser(model)
         self.ids = {p: i for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True)) if t == NORMAL}
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = [i for i, t in enumerate(model.types) if t == BYTE]
@@ -124,17 +185,32 @@ class Transducer:
 
     def merged(self, text: str) -> list[tuple]:
         """Merging by best score first, the leftmost of equals: trees (text, score or None, left, right)."""
-        parts: list[tuple] = [(c, None, None, None) for c in text]
-        while True:
-            best, at = -INFINITE, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i][0] + parts[i + 1][0])
-                if piece is not None and self.model.scores[piece] > best:
-                    best, at = self.model.scores[piece], i
-            if at < 0:
-                return parts
-            left, right = parts[at], parts[at + 1]
-            parts[at : at + 2] = [(left[0] + right[0], best, left, right)]
+        parts: list[tuple | None] = [(c, None, None, None) for c in text]
+        after = [*range(1, len(parts)), -1]
+        before = list(range(-1, len(parts) - 1))
+        waiting: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] >= 0:
+                both = parts[i][0] + parts[after[i]][0]
+                piece = self.ids.get(both)
+                if piece is not None:
+                    heapq.heappush(waiting, (-self.model.scores[piece], i, both))
+
+        for i in range(len(parts)):
+            offer(i)
+        while waiting:
+            weight, i, both = heapq.heappop(waiting)
+            j = after[i]
+            if parts[i] is None or j < 0 or parts[i][0] + parts[j][0] != both:
+                continue  # one of the two has been merged meanwhile
+            parts[i], parts[j] = (both, -weight, parts[i], parts[j]), None
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
 
     def _tree(self, piece: int) -> tuple | None:
         """(right edge, left edge) of how merges make the piece: (text, made at, used up at), None if they don't.
@@ -177,12 +253,7 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """The ids on the least path through the lattice of a normalised text."""
-        if self.model.kind == MERGES:
-            if MARK * 2 in text:  # runs of blanks have pieces of equal score, of which the leftmost is merged first
-                parts = [p[0] for p in self.merged(text)]
-                return [i for p in parts for i in ([self.ids[p]] if p in self.ids else self._fallback(p))]
-            return self._merge_path(text)
-        return self._unigram_path(text)
+        return self._merge_path(text) if self.model.kind == MERGES else self._unigram_path(text)
 
     def _merge_path(self, text: str) -> list[int]:
         """Depth first, longer pieces first. All finite paths weigh 0 and a position has one state of finite weight, so
@@ -215,7 +286,7 @@ class Transducer:
                     before, size = -1, min(end - at, reach.get(text[at : at + 2], 1))
                     continue
                 if before < 0:
-                    raise AssertionError("no path of finite weight")
+                    raise AssertionError(f"no path of finite weight for {text[:100]!r}")
                 dead.add(at)
                 size = len(pieces[path.pop()])
                 at -= size
@@ -237,11 +308,12 @@ class Transducer:
                 if arc is not None and weight[start] + arc < weight[end]:
                     weight[end], came[end] = weight[start] + arc, (start, -1 if piece is None else piece)
         out: list[list[int]] = []
-        end = len(text)
+        end, last = len(text), 0
         while end:
             start, piece = came[end]
-            out.append([piece] if piece >= 0 else self._fallback(text[start:end]))
-            end = start
+            if piece >= 0 or self.bytes or last >= 0:  # unknown characters in a row are one unknown piece
+                out.append([piece] if piece >= 0 else self._fallback(text[start:end]))
+            end, last = start, piece
         return [i for part in reversed(out) for i in part]
 
     # --- texts --------------------------------------------------------------------------------------------------
@@ -253,6 +325,8 @@ class Transducer:
         """Ids of a text as packed 32-bit integers."""
         if not text:
             return b""
+        if not self.normalise.same:
+            return self._spaced(self.normalise(text))
         text = text.replace(MARK, " ")
         line_end = None if "\n" in self.ids else self._packed("\n")
         lines = [text] if line_end is None else text.split("\n")
@@ -298,7 +372,9 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.prefix and text[:1] == " " else text
+        first = next((i for i in ids if self.model.types[i] != CONTROL), None)
+        marked = first is not None and self.model.types[first] == NORMAL and self.model.pieces[first][:1] == MARK
+        return text[1:] if marked and (self.model.prefix or self.model.squeeze) else text
 
 
 def _edge(tree: tuple, side: int) -> list[tuple]:

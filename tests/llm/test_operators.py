@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 import re
+import struct
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
@@ -307,8 +313,6 @@ def test_field_gradient_is_that_of_the_likelihood():
 
 
 def test_pieces_equal_the_library_and_come_back(spark):
-    import sentencepiece
-
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     texts = [t for t in odd.TEXTS if t] + ["  two  blanks ", "\n\n", "a\tb\n c", "naïve 漢 123,456", " x", "tail  "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -321,14 +325,59 @@ def test_pieces_equal_the_library_and_come_back(spark):
     assert back == {i: library.decode(library.encode(t)) for i, t in enumerate(texts)}
 
 
-def test_unigram_paths_are_the_best_ones():
-    """The shortest path of a unigram model, against the weights of all segmentations."""
-    import itertools
-    import struct
+def test_blank_runs_and_long_words_equal_the_library():
+    """All by the transducer, in time that grows with the text."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    transducer = piece_transducer.Transducer(Path(PIECE_MODEL).read_bytes())
+    rnd = random.Random(5)
+    parts = ["the", "a", "Haus", "été", "x", "12", "日本", "def", "if", "==", "😀", "\t", "\n", "...", "()"]
+    for _ in range(3000):
+        text = "".join(rnd.choice([" " * rnd.choice([1, 1, 2, 3, 4, 5, 8, 9, 16, 17, 33]), *rnd.sample(parts, 2)]) for _ in range(rnd.randrange(1, 12)))
+        assert memoryview(transducer.encode(text)).cast("i").tolist() == library.encode(text)
+    for text in (" " * 200_000, "ab" * 100_000, "x" + " " * 200_000 + "y", "a" * 200_000, "=-" * 100_000, "é" * 100_000):
+        start = time.perf_counter()
+        ids = memoryview(transducer.encode(text)).cast("i").tolist()
+        assert time.perf_counter() - start < 10 and ids == library.encode(text)
+
+
+def field(n, data):
+    """A field of a protocol buffer message."""
+    size, left = b"", len(data)
+    while left > 127:
+        size, left = size + bytes([left & 127 | 128]), left >> 7
+    return bytes([n << 3 | 2]) + size + bytes([left]) + data
+
+
+@pytest.mark.parametrize("prefix", [0, 1])
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("with_bytes", [0, 1])
+def test_unigram_models_with_character_maps_equal_the_library(prefix, squeeze, with_bytes):
+    """A public character map with a hand-made vocabulary; where the library takes another path, it weighs the same."""
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = dict(piece_transducer._fields(dict(piece_transducer._fields(normaliser))[3]))[2]
+    assert len(charsmap) > 100_000
+    rnd = random.Random(1)
+    names = "▁ ▁the ▁a t h e a an and ▁and x 1 2 12 ▁1 f i fi ▁▁ é ab b c bc ▁b 日 本 日本 d n ▁an カ ガ . .. ...".split()
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(p, -rnd.uniform(1, 12), 1) for p in names]
+    pieces += [(f"<0x{i:02X}>", 0.0, 6) for i in range(256 * with_bytes)]
+    data = b"".join(
+        field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([0x18, t])) for p, s, t in pieces
+    )
+    own = field(1, b"own") + field(2, charsmap) + bytes([0x18, prefix, 0x20, squeeze, 0x28, 1])
+    data += field(2, b"\x18\x01" + b"\x98\x02\x01" * with_bytes) + field(3, own)
+    library, transducer = sentencepiece.SentencePieceProcessor(model_proto=data), piece_transducer.Transducer(data)
+    parts = ["the", "and", " ", "  ", "   ", "ﬁ", "①", "ｶﾞ", "é", "e\u0301", "１２", "　", "日本", "abc", "…", "\t", "\n", "▁", "Ａ", "ß", "\u200b", "😀"]
+    for _ in range(1500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(9)))
+        ids, theirs = memoryview(transducer.encode(text)).cast("i").tolist(), library.encode(text)
+        assert transducer.normalise(text).replace(" ", "▁") == library.normalize(text)
+        if ids != theirs:
+            assert abs(sum(pieces[i][1] for i in ids) - sum(pieces[i][1] for i in theirs)) < 1e-5
+        assert transducer.decode(theirs) == library.decode(theirs)
 
-    def field(n, data):
-        return bytes([n << 3 | 2, len(data)]) + data
 
+def test_unigram_paths_are_the_best_ones():
+    """The shortest path of a unigram model, against the weights of all segmentations."""
     pieces = {"<unk>": (0.0, 2), "▁": (-2.0, 1), "a": (-3.0, 1), "b": (-3.1, 1), "ab": (-4.0, 1), "▁a": (-4.5, 1),
               "ba": (-3.9, 1), "bab": (-9.0, 1)}
     model = b"".join(
