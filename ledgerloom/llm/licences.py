@@ -8,7 +8,7 @@ last ones and is as long. So a notice is found when it fills a line or block, an
 lines, however either is broken into lines. Lines without canonical letters and copyright lines within a run don't count.
 The known texts are a fixed list; their digests, ends and lengths are the only thing broadcast.
 
-Only hit lines take part in a shuffle. Defined cases: a null or empty text and a text without letters match nothing;
+Only hit lines take part in a shuffle. Texts of any length are canonical as a whole. Defined cases: a null or empty text and a text without letters match nothing;
 equal rows are reported one by one; ties don't arise, as canonical texts of the list are distinct; clashing input
 columns are not read; an empty table gives an empty result.
 """
@@ -55,9 +55,9 @@ _GRANT = "(?:" + "|".join(
         "this source code form", "use of this source code", "spdx-licen[cs]e-identifier", "everyone is permitted",
     )
 ).replace(" ", "[ \\t]+") + ")"
-#: Line breaks put back around a copyright line in running text; a holder's name has 300 characters at most.
-COPYRIGHT_START = f"[ \\t]+(?=(?:{_SIGN}[ \\t]*)?copyright[ \\t]*(?:{_SIGN}|by\\b|{_YEAR})[^\\n]{{0,300}}?[ \\t]{_GRANT})"
-COPYRIGHT_END = f"(copyright[^\\n]{{0,300}}?|{_SIGN}[ \\t]*{_YEAR}[^\\n]{{0,300}}?)[ \\t]+(?={_GRANT})"
+#: Line breaks put back around a copyright line in running text that goes on with a grant.
+COPYRIGHT_START = f"[ \\t]+(?=(?:{_SIGN}[ \\t]*)?copyright[ \\t]*(?:{_SIGN}|by\\b|{_YEAR})[^\\n]*?[ \\t]{_GRANT})"
+COPYRIGHT_END = f"(copyright[^\\n]*?|{_SIGN}[ \\t]*{_YEAR}[^\\n]*?)[ \\t]+(?={_GRANT})"
 LINE_ENDS = "\r\x0b\x0c\x85\u2028\u2029"
 #: Each known text holds one of these in any of its spellings; a text without them needs no canonical form.
 STEMS = ("licen", "permission", "cc0", "redistribution", "released", "distributed", "available", "published")
@@ -75,7 +75,8 @@ def may_match(text: Column) -> Column:
 def canonical_lines(text: Column) -> Column:
     """The form in which texts are compared, with a line feed in place of a space where a line ends."""
     out = F.translate(F.lower(whole_text(text)), LINE_ENDS, "\n" * len(LINE_ENDS))
-    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_START, "\n"), COPYRIGHT_END, "$1\n")
+    apart = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_START, "\n"), COPYRIGHT_END, "$1\n")
+    out = F.when(F.rlike(out, F.lit(_GRANT)), apart).otherwise(out)
     out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
     for spelling, common in SPELLINGS:
         out = F.regexp_replace(out, spelling, common)
@@ -137,8 +138,14 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
 
 def _runs(texts: DataFrame, starts: DataFrame) -> DataFrame:
-    forms = texts.select("row_id", "row_hash", "form", joined(F.col("form")).alias("words"))
-    near = forms.join(starts, F.contains("words", "head"))
+    """Runs of lines with a known text's ends. The first six words from each line's start on (they may lie in up to six
+    lines) are joined with the known ones; only those that are known carry the text along."""
+    lines = F.split("form", "\n")
+    heads = F.transform(lines, lambda _, i: F.regexp_extract(F.array_join(F.slice("lines", i + 1, F.lit(6)), " "), "^(?:[^ ]+ ){5}[^ ]+", 0))
+    known = starts.agg(F.collect_set("head").alias("heads")).scalar()
+    forms = texts.select("row_id", "row_hash", "form", lines.alias("lines"))
+    forms = forms.select("row_id", "row_hash", "form", F.explode(F.array_intersect(heads, known)).alias("head"))
+    near = forms.join(starts, "head")
     units = near.select(
         "row_id", "row_hash", F.char_length("form").alias("n"), F.col("pattern").alias("start"),
         F.posexplode(F.regexp_extract_all("form", F.col("pattern"), F.lit(1))).alias("at", "unit"),

@@ -7,18 +7,22 @@ entity. Every segment of an island of at most `LONGEST` tokens is a candidate fo
 segmentation of the highest score, boundaries and kinds jointly. Spans it finds beside the base spans are added; base
 spans stay as they are.
 
-The field is learned by gradient ascent on the likelihood of islands labelled with base spans, from a bounded sample:
-the `SAMPLE` documents that come first by a hash of doc_id, of which `ISLANDS` islands at most reach the driver. Islands
-with a match that failed its check are no examples, so the field decides them by what the others taught. Documents are
-searched whole and where they lie; nothing is shuffled.
-
-Defined cases: a null or empty text has no spans; without any labelled island nothing is added; repeated rows give
-equal rows; spans that start together are listed in the order of kinds; other input columns are not read; an empty
-table gives an empty result.
+The field is learned by gradient ascent on the likelihood of islands labelled with base spans, from a bounded sample
+that is drawn over all documents, kind by kind: of the different islands whose first span is of a kind, the `EXAMPLES`
+that come first by a hash, and as many without spans. So rare kinds have examples however many plain numbers there are;
+`Field.examples` says how many. Islands are taken whole; those of more than `MOST_TOKENS` tokens, and those with a match
+that failed its check, are no examples, so the field decides them by what the others taught. Every task passes on its
+own first ones by hash only. Documents are searched whole and where they lie; nothing is shuffled.
+
+Defined cases: a null or empty text has no spans; without any labelled island nothing is added; texts of any length are
+searched whole, in time in proportion to their islands; repeated rows give equal rows and are one example; spans that
+start together are listed in the order of kinds; of equal scores the segmentation with later starts and earlier kinds
+is taken; other input columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_left
@@ -30,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import packed, whole_text
+from ledgerloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
-SAMPLE, ISLANDS, EPOCHS, RATE, PENALTY = 3000, 400, 6, 0.1, 1e-3
+EXAMPLES, MOST_TOKENS, EPOCHS, RATE, PENALTY = 80, 200, 6, 0.1, 1e-3
 
 # The base patterns. Local part and numbers begin where their run of characters does.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -175,8 +180,8 @@ class Island:
 class Field:
     """Weights of kind and feature; the weight of a token outside; the weight of entities side by side."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], examples: dict[str, int] | None = None):
+        self.weights, self.examples = weights, examples or {}
         self._scores: dict[tuple[str, ...], tuple[float, ...]] = {}
 
     def scores(self, look: tuple[str, ...]) -> tuple[float, ...]:
@@ -276,7 +281,7 @@ def _example(text: str) -> tuple[Island, list[tuple[int, int, int]]] | None:
         return None
     place = {at: n for n, at in enumerate(island.at)}
     gold = [(place.get(s, -1), place.get(e, -1), KINDS.index(k)) for s, e, k in spans]
-    if any(s < 0 or e < 0 or s not in island.segments(e) for s, e, _ in gold) or len(island.tokens) > 60:
+    if any(s < 0 or e < 0 or s not in island.segments(e) for s, e, _ in gold) or len(island.tokens) > MOST_TOKENS:
         return None
     return island, gold
 
@@ -298,22 +303,50 @@ def fit(texts: list[str]) -> Field | None:
                 g -= PENALTY * field.weights.get(f, 0.0)
                 squares[f] += g * g
                 field.weights[f] = field.weights.get(f, 0.0) + RATE * g / (math.sqrt(squares[f]) + 1e-6)
-    return Field(dict(field.weights))
-
-
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    base = packed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = base.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("chosen"))
-    chosen = chosen.orderBy(F.xxhash64("chosen"), "chosen").limit(sample)  # at most `sample` numbers
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [t[a : min(b, a + 400)] for t in batch.column(0).to_pylist() for a, b in islands(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["island"])
-
-    texts = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select(whole_text(F.col("text")))
-    stretches = texts.mapInArrow(cut, "island string").distinct().orderBy(F.xxhash64("island"), "island").limit(ISLANDS)
-    return fit([r["island"] for r in stretches.collect()])
+    counts = dict.fromkeys((*KINDS, "none"), 0)
+    for _, gold in examples:
+        for kind in {KINDS[k] for _, _, k in gold} or {"none"}:
+            counts[kind] += 1
+    return Field(dict(field.weights), counts)
+
+
+def _first_islands(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of this task's usable islands the first `most` of each kind by hash, with kind and hash."""
+    first: dict[str, dict[int, str]] = defaultdict(dict)
+    limit: dict[str, int] = {}
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            for a, b in islands(text):
+                island = text[a:b]
+                rank = int.from_bytes(hashlib.blake2b(island.encode(), digest_size=8).digest(), "big") >> 1
+                if all(rank >= limit.get(k, 1 << 63) for k in (*KINDS, "none")):
+                    continue
+                example = _example(island)
+                if example is None:
+                    continue
+                kind = KINDS[example[1][0][2]] if example[1] else "none"
+                if rank < limit.get(kind, 1 << 63):
+                    own = first[kind]
+                    own[rank] = island
+                    if len(own) > most:
+                        del own[max(own)]
+                        limit[kind] = max(own)
+    rows = [(kind, rank, island) for kind, own in first.items() for rank, island in own.items()]
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    kinds = (pa.string(), pa.int64(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "rank", "island"])
+
+
+def train(docs: DataFrame, examples: int = EXAMPLES) -> Field | None:
+    """A field learned from at most `examples` islands of each kind and as many without spans, of all documents."""
+    texts = packed(docs).select(whole_text(F.col("text")).alias("text"))
+    drawn = texts.mapInArrow(lambda batches: _first_islands(batches, examples), "kind string, rank bigint, island string")
+    drawn = materialise(drawn, "islands")
+    found = []
+    for kind in (*KINDS, "none"):
+        own = drawn.filter(F.col("kind") == kind).select("rank", "island").distinct()
+        found += [r["island"] for r in own.orderBy("rank", "island").limit(examples).collect()]
+    return fit(found)
 
 
 def spans_of(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
