@@ -9,7 +9,8 @@ too, so the texts are read once. The driver receives one row: the prior's moment
 
 Defined cases: a null or empty text has no words and fails the length rule; a null host is a host of its own; equal
 rows are judged one by one; without any spread between hosts every host gets the common rate; an empty table gives an
-empty result; of clashing input columns only doc_id, text and the host column are read.
+empty result; texts are measured whole, in memory in proportion to the longest; a rate exactly at the limit is no
+failure; of clashing input columns only doc_id, text and the host column are read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ equi-join whose large partitions adaptive execution splits. The list of frequent
 
 Defined cases: a null text is one empty line; empty keys (shorter than `min_chars`) are never dropped; each row counts
 as one document, repeated rows too; a row without doc_id is treated like any other; input columns named like a result
-are replaced; an empty table gives an empty result.
+are replaced; lines of any length are keyed whole; a key in exactly `min_docs` documents is dropped, and lines keep the
+order of the text, so there are no ties; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ one row per source, written once and broadcast only below Spark's size threshold
 
 Defined cases: a null source is a source of its own; a null text has size 0, and a source of size 0 keeps rate 1; a
 source that is missing among given weights gets weight 0; equal rows draw equal counts; input columns named like a
-result (`copy`, `shuffle_key`) are replaced; an empty table gives an empty result.
+result (`copy`, `shuffle_key`) are replaced; a text counts with its whole length, and copies of equal shuffle keys may come in either order; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ vectors at most). Scoring takes every passage of every document, where the docum
 Labels, language, source and doc_id are no inputs of a score. Defined cases: a null, empty or blank text is one passage
 without words; a document labelled twice counts twice; labels that are null are left out; without labels of both kinds
 every score is the share of label 1 (0.5 without labels); repeated rows get equal scores; input columns that clash with
-results are replaced; an empty table gives an empty result.
+results are replaced; a text of any length is scored by all its passages, a word of any length being one word; a score
+exactly at the threshold is accepted; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ are equi-joins that adaptive execution splits, so a passage that a third of all
 
 Defined cases: a null text has no words; windows are judged on the input, not on what is left; rows that repeat doc_id
 and text are rows of their own and cut each other's words; a text without removals is its words joined by single
-blanks; input columns named like a result are replaced; an empty table gives an empty result.
+blanks; whole texts are searched, a text without blanks being one word; of windows with equal words none comes first: all
+are removed; input columns named like a result are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
