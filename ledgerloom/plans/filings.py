@@ -26,16 +26,15 @@ class FilingTables:
     balance: DataFrame
 
 
-def select_filings(documents: DataFrame, unified: bool = False) -> DataFrame:
-    """Documents to process: one version per institution and base date. `unified` also takes the prefix from the base.
-
-    A first reading finds the keys and stores the paths of replaced versions, a short list; a second one leaves them out.
-    """
+def with_version_keys(documents: DataFrame, unified: bool = False) -> DataFrame:
+    """Documents with a name and keys; `unified` also takes the prefix of a name from its base."""
     keyed = filing_keys(documents, unified)
-    keys = ("cnpj_key", "base_key", "submission")
-    gone = materialise(replaced_filings(keyed.select(*keys, "path"), order="path"), "replaced")
-    chosen = keyed.drop(*keys).join(gone, "path", "left_anti")
-    return chosen.withColumn("prefix", filing_name(F.col("file_name"))["base"]) if unified else chosen
+    return keyed.withColumn("prefix", filing_name(F.col("file_name"))["base"]) if unified else keyed
+
+
+def without_replaced(rows: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Rows of the documents that stay, less their path."""
+    return rows.join(replaced, "path", "left_anti").drop("path")
 
 
 def filing_tables(
@@ -61,20 +60,24 @@ def run(
 ) -> FilingTables:
     """Read `source`, write silver, run log, rejected files and balance check below `target`.
 
-    Judged documents are written once and read back, so validation runs once for log and facts; the balance check
-    reads the stored facts.
+    Keys are read first, and the paths of replaced versions stored, a narrow list. Judged documents are written once and
+    read back, so validation runs once for log and facts. The list is held against the rows of log and facts, after
+    flattening, so no text and no parsed document is ever exchanged; the balance check reads the stored facts.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of a key given twice the last counts
     documents = decode_documents(read_files(spark, source))
-    judged = with_status(select_filings(documents, unified), rules)
+    keyed = with_version_keys(documents, unified)
+    keys = ("cnpj_key", "base_key", "submission")
+    replaced = materialise(replaced_filings(keyed.select(*keys, "path"), order="path"), "replaced")
+    judged = with_status(keyed.drop(*keys), rules)
     stage = f"{target}/judged"
     judged.drop("text", "violations", "readable").write.mode("overwrite").parquet(stage)
     stored = spark.read.parquet(stage)
-    status = stored.select(F.col("file_name").alias("arquivo"), "status", "mensagem")
+    status = without_replaced(stored.select("path", F.col("file_name").alias("arquivo"), "status", "mensagem"), replaced)
     sinks.write_csv(status, f"{target}/runtime_log")
     rejects = filing_rejects(documents).select(F.col("file_name").alias("arquivo"), "motivo")
     sinks.write_csv_if_any(rejects, f"{target}/rejeitados")
-    facts = flatten_accounts(stored.filter(F.col("status") == "valid"), rules)
+    facts = without_replaced(flatten_accounts(stored.filter(F.col("status") == "valid"), rules, keep=["path"]), replaced)
     sinks.write_silver(facts, f"{target}/silver")
     silver = silver_scan(spark, f"{target}/silver")
     balance = balance_qc(silver)

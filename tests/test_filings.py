@@ -9,9 +9,9 @@ from ledgerloom.functions.periods import parse_cutoff, tag_to_iso
 from ledgerloom.operators.flatten import allowed_dates, flatten_accounts, orphan_refs, parse_documents
 from ledgerloom.operators.contract import with_status
 from ledgerloom.operators.quality import balance_qc
-from ledgerloom.operators.replacement import dedup_replacement, filing_keys, resume_pending
+from ledgerloom.operators.replacement import dedup_replacement, filing_keys, replaced_filings, resume_pending
 from ledgerloom.plans import filings as plan
-from ledgerloom.sources.documents import decode_documents, read_files
+from ledgerloom.sources.documents import decode_documents, gunzip, read_files
 from ledgerloom.sources.tables import csv_headers, csv_typed_scan, silver_scan
 from tests.samples import account, documents, filing
 
@@ -175,6 +175,35 @@ def test_job_end_to_end(spark, raw, tmp_path):
     spark.sql("DROP TABLE filing_facts")
 
 
+def test_versions_are_chosen_without_exchanging_texts(spark, tmp_path):
+    """With broadcasts off, exchanges hold keys, paths and facts, but neither texts nor parsed documents."""
+    names = ["01234567_9011_I_20241231.json", "01234567_9011_S_20241231.json", "202412-9011-01234567.json", "x.json"]
+    docs = documents(spark, *[filing() for _ in names], names=names)
+    keyed = plan.with_version_keys(docs)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        replaced = replaced_filings(keyed, order="path")
+        assert [r.path[-29:] for r in replaced.collect()] == [names[0]]
+        facts = flatten_accounts(parse_documents(keyed), None, keep=["path"])
+        kept = plan.without_replaced(facts, replaced)
+        tree = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+        below = [tree[i + 1] for i, line in enumerate(tree) if "Exchange hashpartitioning" in line]
+        assert len(below) >= 3 and not any(f"{c}#" in line for line in below for c in ("text", "doc", "contas"))
+        assert kept.count() == 10
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_gunzip_hands_out_what_it_has(spark):
+    """A thousand members that grow a hundredfold, in one batch of the source."""
+    made = spark.range(1000, numPartitions=1).select("id", F.lit(gzip.compress(b"0123456789" * 100_000)).alias("content"))
+    got = made.select(F.length(gunzip(F.col("content"))).alias("n")).agg(F.sum("n"), F.count("n")).first()
+    assert tuple(got) == (1_000_000_000, 1000)
+
+
 def test_csv_keeps_leading_zeros_and_needs_its_columns(spark, tmp_path):
     path = str(tmp_path / "csv")
     sinks.write_csv(spark.createDataFrame([("00012345", 1.5)], "cnpj string, valor double"), path, bom=True)
