@@ -11,8 +11,9 @@ The field is learned by gradient ascent on the likelihood of islands labelled wi
 that is drawn over all documents, kind by kind: of the different islands whose first span is of a kind, the `EXAMPLES`
 that come first by a hash, and as many without spans. So rare kinds have examples however many plain numbers there are;
 `Field.examples` says how many. Islands are taken whole; those of more than `MOST_TOKENS` tokens, and those with a match
-that failed its check, are no examples, so the field decides them by what the others taught. Every task passes on its
-own first ones by hash only. Documents are searched whole and where they lie; nothing is shuffled.
+that failed its check (unless it is part of a span), are no examples, so the field decides them by what the others
+taught. Every task passes on its own first ones by hash only. Documents are searched whole and where they lie; nothing is
+shuffled.
 
 Defined cases: a null or empty text has no spans; without any labelled island nothing is added; texts of any length are
 searched whole, in time in proportion to their islands; repeated rows give equal rows and are one example; spans that
@@ -277,6 +278,7 @@ def _gradient(field: Field, island: Island, gold: list[tuple[int, int, int]]) ->
 def _example(text: str) -> tuple[Island, list[tuple[int, int, int]]] | None:
     """An island with its base spans as segments, if the spans end at tokens and no match failed."""
     island, (spans, failed) = Island(text, 0, len(text)), pattern_spans(text)
+    failed = [f for f in failed if not any(s[0] <= f[0] and f[1] <= s[1] for s in spans)]  # else parts of a span
     if any(_digits(text, s) >= 7 for s in failed) or any(b[0] < a[1] for a, b in zip(spans, spans[1:], strict=False)):
         return None
     place = {at: n for n, at in enumerate(island.at)}
