@@ -76,6 +76,7 @@ WRONG_TYPE = "Não é 9011"
 BROKEN_CONTRACT = "Violou schema"
 NO_RULE = "prefixo sem regra"
 
+# --- Fixed values: fact table ----------------------------------------------------------------------------
 FACT_COLUMNS = ["cnpj", "periodo", "bloco", "escopo", "nivel", "descricao", "valor"]
 FACT_SCHEMA = (
     "cnpj string, periodo string, bloco string, escopo string, nivel string, descricao string, valor double"
@@ -157,5 +158,5 @@ HIT, MISS, NOT_ASSESSABLE = "✓ Acertou", "✗ Errou", "—"
 PROFIT, LOSS, NEUTRAL = "Lucro", "Prejuízo", "Neutro (zero)"
 NO_RANGE = "N/A (LLM não informou faixa)"
 
-# blank characters removed around texts
+# --- Fixed values: blank characters removed around texts -------------------------------------------------
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"

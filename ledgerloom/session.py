@@ -41,9 +41,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table written by this run."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete all tables that this process has stored on the way, once no result that reads them is needed any more.
+
+    Returns how many there were.
+    """
+    hadoop, n = spark._jvm.org.apache.hadoop.fs, 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
