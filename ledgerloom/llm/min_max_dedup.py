@@ -10,11 +10,12 @@ Each permutation gives two values of a document, the smallest and the largest, s
    the threshold out are left, the others confirmed on full shingle sets. Members far from the head get a second one.
 3. Links that don't go through a head: nodes close to the same head but in different components are compared on full
    sets in blocks, which return only the links that connect something.
-4. Members far from both heads: in a band with at most `FEW` of them each is laid beside all members, and what passes the
-   bounds of size and sketch is confirmed one by one. In other bands (documents that share a template, say) members are
-   compared by their rare shingles: of two sets at the threshold, the rarest quarter of one (and one more) shares a
-   shingle with that of the other. That is exact, and shingles of a template are rare in no set that has others. Groups
-   of a rare shingle with more than `FEW` members go through blocks as in step 3.
+4. Members far from both heads: each is laid beside all members of the band, and what passes the bounds of size and sketch
+   is confirmed one by one, unless these are more pairs than `PAIRS_A_SHINGLE` times the members' shingles. In such
+   crowded bands (documents that share a template, say) members are compared by their rare shingles: of two sets at
+   the threshold, the rarest quarter of one (and one more) shares a shingle with that of the other. That is exact, and
+   shingles of a template are rare in no set that has others. Groups of a rare shingle with more than `FEW` members go
+   through blocks as in step 3.
 5. Connected components of the confirmed links.
 
 So every pair of a band is either in one component already or is decided on full sets, without all pairs of a large
@@ -136,9 +137,27 @@ def _close(a: str, b: str) -> Column:
     return (100 * small >= PERCENT * large) & (apart <= MOST_APART)
 
 
+#: Places of the bit map that sorts out most documents which aren't asked for (512 KB), and bits of one part of it.
+MAP_PLACES, PART_BITS = 1 << 22, 32768
+
+
+def _perhaps_among(doc_id: Column, nodes: DataFrame) -> Column:
+    """False only for ids that are none of the nodes: their hashes' places in a bit map of fixed size."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_PLACES)).cast("int")
+    part, bit = (lambda c: F.floor(c / PART_BITS).cast("int")), (lambda c: c % PART_BITS)
+    parts = nodes.groupBy(part(place(F.col("node"))).alias("part")).agg(F.bitmap_construct_agg(bit(place(F.col("node")))).alias("bits"))
+    bits = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits")))).scalar()
+    own = bit(place(doc_id))
+    octet = F.conv(F.hex(F.substr(F.try_element_at(bits, part(place(doc_id))), F.floor(own / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return F.coalesce(F.call_function("shiftright", octet.cast("int"), own % 8) % 2 == 1, F.lit(False))
+
+
 def _shingles_of(nodes: DataFrame, base: DataFrame) -> DataFrame:
-    """node and its full shingle set, for the nodes given."""
-    texts = base.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
+    """node and its full shingle set, for the nodes given. Texts of documents that can't be among them leave the plan before
+    the join, so that no exchange of it holds many others."""
+    known = materialise(nodes, "asked-for")
+    few = base.filter(_perhaps_among(F.col("doc_id"), known))
+    texts = few.join(known.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
     return materialise(texts.mapInArrow(_sets, "node bigint, shingles array<bigint>"), "shingle-sets")
 
 
@@ -193,16 +212,17 @@ def _link_block(block: pa.Table) -> pa.Table:
 
 #: Sets in a side of a block, and shingles in all of them.
 BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
-FEW = 64
+#: A band is crowded if it has more far members than `FEW`, and so many pairs that its shingles are less to deal with.
+FEW, PAIRS_A_SHINGLE = 64, 16
 
 
-def _links_within(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_within(groups: DataFrame, roots: DataFrame, sets: DataFrame, marked: DataFrame) -> DataFrame:
     """Links between members of a group (head, node) that have different roots.
 
     All but the members of the group's main root are compared with every member, in blocks of about `BLOCK` by `BLOCK`
     sets, or fewer where sets are large, so neither a task nor the result grows with the square of a group.
     """
-    sizes = sets.select("node", F.size("shingles").alias("size"))
+    sizes = marked.select("node", F.col("of.size").alias("size"))
     rooted = groups.join(roots, "node", "left").select("head", "node", F.coalesce("root", "node").alias("root"))
     rooted = rooted.join(sizes, "node")
     counted = rooted.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
@@ -256,7 +276,7 @@ def _links_by_rare_shingles(nodes: DataFrame, marked: DataFrame, roots: DataFram
     pairs = few.select("s", *one).join(few.select("s", *two), "s").filter("node_a < node_b AND root_a != root_b")
     pairs = pairs.filter(_close("of_a", "of_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     links = _confirmed(materialise(pairs, "rare-pairs"), sets)
-    return links.unionByName(_links_within(many.select(F.col("s").alias("head"), "node"), roots, sets))
+    return links.unionByName(_links_within(many.select(F.col("s").alias("head"), "node"), roots, sets, marked))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -308,7 +328,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _confirmed(groups.select(F.col("head").alias("a"), F.col("node").alias("b")), sets)
     roots = components(links, "a", "b")
     whole = groups.unionByName(groups.select("head", F.col("head").alias("node")).distinct())
-    within = materialise(_links_within(whole, roots, sets), "links-within")
+    within = materialise(_links_within(whole, roots, sets, marked), "links-within")
 
     placed = again.join(marked.drop("reach"), "node").join(roots, "node", "left")
     placed = materialise(placed.withColumn("root", F.coalesce("root", "node")).select(*again.columns, "of", "root"), "placed")
@@ -319,7 +339,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         & ~(F.col("near_second_a") & F.col("near_second_b"))
         & (F.col("near_b") | (F.col("node_a") < F.col("node_b")))
     )
-    crowded = placed.groupBy("band").agg(F.count_if(~F.col("near")).alias("n")).filter(F.col("n") > FEW)
+    counted = placed.groupBy("band").agg(
+        F.count_if(~F.col("near")).alias("far"), F.count(F.lit(1)).alias("n"), F.sum("of.size").alias("size")
+    )
+    crowded = counted.filter((F.col("far") > FEW) & (F.col("far") * F.col("n") > PAIRS_A_SHINGLE * F.col("size")))
     crowded = materialise(crowded.select("band"), "crowded-bands")
     calm = placed.join(crowded, "band", "left_anti")
     far = calm.filter("NOT near").select("band", *one).join(calm.select("band", *two), "band")

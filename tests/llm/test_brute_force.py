@@ -1,4 +1,4 @@
-"""Licence scan and segments of the random field against brute force."""
+"""Licence scan, segments of the random field and documents of one template against brute force."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import pytest
 import regex
 
 from ledgerloom.llm import licences as LI
+from ledgerloom.llm import min_max_dedup as MM
 from ledgerloom.llm import pii_segments as PI
 from ledgerloom.llm.licence_texts import LICENCES
 
@@ -118,3 +119,33 @@ def test_examples_are_drawn_for_each_kind(spark):
     one, two = (PI.train(docs.repartition(n), examples=20) for n in (3, 7))
     assert one.examples == two.examples and one.weights == two.weights
     assert one.examples["email"] == 20 and one.examples["ip"] == 5 and one.examples["phone"] == 1 and one.examples["none"] >= 20
+
+
+def test_documents_of_one_template_against_brute_force(spark, monkeypatch):
+    """Crowded bands: what is alike beside a shared template is found by rare shingles, in small groups and in large ones."""
+    monkeypatch.setattr(MM, "FEW", 4)
+    monkeypatch.setattr(MM, "PAIRS_A_SHINGLE", 0)
+    rnd = random.Random(1)
+    template = [f"t{i}" for i in range(40)]
+    rows = [template[:20] + [f"u{rnd.randrange(10**9)}" for _ in range(20)] + template[20:] for _ in range(150)]
+    for c in range(12):
+        source = rows[rnd.randrange(150)]
+        for k in range(rnd.choice([1, 3, 12])):
+            rows.append([*source[: 20 + k % 20], f"v{c}x{k}", *source[21 + k % 20 :]])
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in rows]
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in MM.near_duplicates(docs.repartition(4)).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
