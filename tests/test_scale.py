@@ -1,5 +1,9 @@
 """What must not grow faster than the input: widths of exchanges, passes, and files."""
 
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import history
+from ledgerloom.operators.history import history_payload
 from tests.compare import driver
 from tests.test_plans import SF, physical
 
@@ -9,3 +13,20 @@ def test_lines_are_exchanged_as_they_are(spark):
     lines = physical(driver.queries()["scale_by_entity"](spark, SF)).splitlines()
     at = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(l_orderkey" in line)
     assert "HashAggregate" not in lines[at + 1]
+
+
+def test_rows_of_short_histories_are_exchanged_once(spark):
+    panel = spark.createDataFrame([("h", 2024, 6, 1.5), ("g", 2023, 12, 2.0)], "inst_hash string, Ano int, Mes int, v double")
+    assert physical(history_payload(panel)).count("Exchange") == 1
+
+
+def test_long_histories_next_to_short_ones(spark):
+    """Entities on both sides of the bound of a list, one of them null, give what numbering gives for all."""
+    n = history.ROWS
+    sizes = {"a": n, "b": n + 1, "c": 1, None: 2 * n + 5, "e": 2 * n}
+    rows = [(k, 2000 + i % 50, 6, float(i)) for k, size in sizes.items() for i in range(size)]
+    panel = spark.createDataFrame(rows, "inst_hash string, Ano int, Mes int, v double")
+    got = {(r.inst_hash, r.part): (r.n, r.payload) for r in history_payload(panel, rows=300).collect()}
+    fields = F.struct("Ano", "Mes", "v").alias("__row")
+    items = panel.select("inst_hash", F.lit(False).alias("a"), F.col("Ano").alias("b"), F.lit(False).alias("c"), F.col("Mes").alias("d"), fields)
+    assert got == {(r.inst_hash, r.part): (r.n, r.payload) for r in history._long(items, "inst_hash", 300).collect()}
