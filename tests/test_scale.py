@@ -1,8 +1,11 @@
 """What must not grow faster than the input: widths of exchanges, passes, and files."""
 
+import json
+from random import Random
+
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import history
+from ledgerloom.operators import flatten, history
 from ledgerloom.operators.history import history_payload
 from tests.compare import driver
 from tests.test_plans import SF, physical
@@ -30,3 +33,37 @@ def test_long_histories_next_to_short_ones(spark):
     fields = F.struct("Ano", "Mes", "v").alias("__row")
     items = panel.select("inst_hash", F.lit(False).alias("a"), F.col("Ano").alias("b"), F.lit(False).alias("c"), F.col("Mes").alias("d"), fields)
     assert got == {(r.inst_hash, r.part): (r.n, r.payload) for r in history._long(items, "inst_hash", 300).collect()}
+
+
+def _odd_accounts(random, depth):
+    """Accounts within accounts with items, lists and members that are none."""
+    found = []
+    for i in range(random.randint(0, 2)):
+        account = {"@nivel": f"{depth}.{i}", "@descricao": 'a "contas": b', "valoresIndividualizados": [{"@dtBase": "d", "@valor": depth}]}
+        if depth < 20 and random.random() < 0.9:
+            account["contas"] = _odd_accounts(random, depth + 1)
+        elif random.random() < 0.5:
+            account["contas"] = random.choice([None, "x", 5, {}, [], {"contas": [account.copy()]}])
+        found += [account, random.choice(["nota", None, 7, [], {"contas": []}])][: random.randint(1, 2)]
+    return found
+
+
+def _levels_of(accounts):
+    for a in accounts if isinstance(accounts, list) else []:
+        if isinstance(a, dict):
+            yield from (a["@nivel"] for _ in a.get("valoresIndividualizados", []))
+            yield from _levels_of(a.get("contas"))
+
+
+def test_nested_accounts_of_any_shape(spark):
+    """Several levels are read at a time: no list of variants is made of each, and odd items are left out at every level."""
+    random, docs = Random(5), []
+    for n in range(200):
+        top = {"@nivel": "0", "@descricao": "t", "valoresIndividualizados": [{"@dtBase": "d", "@valor": 1}], "contas": _odd_accounts(random, 1)}
+        docs.append((n, {"@unidadeMedida": 1, "datasBaseReferencia": [{"@id": "d", "@data": "A122020"}], "BalancoPatrimonial": {"contas": [top]}}))
+    texts = spark.createDataFrame([(n, json.dumps(d)) for n, d in docs], "n int, text string")
+    facts = flatten.flatten_accounts(flatten.parse_documents(texts, nested=True), None, keep=["n"], nested=True)
+    expected = sorted((n, level) for n, d in docs for level in _levels_of(d["BalancoPatrimonial"]["contas"]))
+    assert max(len(level) for _, level in expected) > 3  # ten levels and more
+    assert sorted((r.n, r.nivel) for r in facts.collect()) == expected
+    assert "ArrayType(VariantType" not in facts._jdf.queryExecution().optimizedPlan().toString()
