@@ -15,7 +15,7 @@ from ledgerloom.operators import anonymize as A
 from ledgerloom.operators import history, pseudonymize, scorecard, sections, summary
 from ledgerloom.plans.anonymisation import anonymised_tables, run_pseudonyms
 from ledgerloom.plans.panel import panel_from_extractions
-from ledgerloom.session import new_table_path
+from ledgerloom.session import materialise, new_table_path
 from ledgerloom.sources import tables as T
 
 # --- SQL shared by several checks ------------------------------------------------------------------------------
@@ -207,7 +207,7 @@ def _with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_scan_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels with permuted, missing and foreign columns in one folder, next to files that are no panels."""
     folder = new_table_path(spark, "mixed")
-    panel = _with_notes(spark, sf_dir)
+    panel = materialise(_with_notes(spark, sf_dir), "panel-rows")
     halves = F.col("Mes") <= 6
     shuffled = panel.filter(halves).select("Ano", "Mes", *reversed([c for c in panel.columns if c not in ("Ano", "Mes")]))
     sinks.write_csv(shuffled, f"{folder}/a", ";", bom=True)

@@ -5,6 +5,7 @@ from random import Random
 
 from pyspark.sql import functions as F
 
+from ledgerloom.bindings import panels
 from ledgerloom.operators import flatten, history
 from ledgerloom.operators.history import history_payload
 from tests.compare import driver
@@ -67,3 +68,10 @@ def test_nested_accounts_of_any_shape(spark):
     assert max(len(level) for _, level in expected) > 3  # ten levels and more
     assert sorted((r.n, r.nivel) for r in facts.collect()) == expected
     assert "ArrayType(VariantType" not in facts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_of_several_kinds_take_one_panel(spark, monkeypatch):
+    """The panel that is split among files is stored first, so that its sums are made once."""
+    made = []
+    monkeypatch.setattr(panels, "materialise", lambda df, name: made.append(name) or df.localCheckpoint())
+    assert panels.panel_scan_mixed(spark, SF).columns and made == ["panel-rows"]
