@@ -9,7 +9,7 @@ from ledgerloom import sinks
 from ledgerloom.operators.forecasts import clean_responses, payload_fields, prediction_status
 from ledgerloom.operators.scorecard import accuracy_tally, scorecard
 from ledgerloom.session import materialise
-from ledgerloom.sources.tables import csv_typed_scan, mapping_scan, read_prediction_files, truth_files, truth_scan
+from ledgerloom.sources.tables import csv_typed_scan, institution_headers, mapping_scan, read_prediction_files, truth_files, truth_scan
 
 
 def usable_predictions(files: DataFrame) -> DataFrame:
@@ -36,8 +36,10 @@ def run(
     predictions = materialise(usable_predictions(files), "predictions")
     if predictions.isEmpty():
         raise ValueError(f"no usable response in {responses}")
-    panel = truth_scan(spark, truth) if isinstance(truth, str) else truth
-    found = truth_files(spark, truth) if isinstance(truth, str) else None
+    panel, found = truth, None
+    if isinstance(truth, str):
+        headers = institution_headers(spark, truth)
+        panel, found = truth_scan(spark, truth, headers), truth_files(spark, truth, headers)
     card = scorecard(predictions, mapping_scan(spark, mapping), panel_like(spark, dataset), panel, models, files=found)
     place = f"{target}/run={run_id}"
     sinks.write_csv(card, f"{place}/scorecard", ";", bom=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.bindings import panels
 from ledgerloom.operators import flatten, history
 from ledgerloom.operators.history import history_payload
+from ledgerloom.sources import tables
 from tests.compare import driver
 from tests.test_plans import SF, physical
 
@@ -75,3 +76,10 @@ def test_files_of_several_kinds_take_one_panel(spark, monkeypatch):
     made = []
     monkeypatch.setattr(panels, "materialise", lambda df, name: made.append(name) or df.localCheckpoint())
     assert panels.panel_scan_mixed(spark, SF).columns and made == ["panel-rows"]
+
+
+def test_headers_of_institutions_are_read_once(spark, monkeypatch):
+    """What keeps files from being read and their results share one pass for headers."""
+    read, scan = [], tables.csv_headers
+    monkeypatch.setattr(tables, "csv_headers", lambda *a, **k: read.append(a) or scan(*a, **k))
+    assert panels.truth_reasons(spark, SF).columns and len(read) == 1
