@@ -41,7 +41,7 @@ def filing_tables(
     documents: DataFrame, rules: Mapping[str, Iterable[str]] = layout.DEFAULT_RULES
 ) -> FilingTables:
     """The three results of (path, file_name, text), all lazy."""
-    judged = with_status(documents, rules)
+    judged = with_status(documents, rules, listed=False)
     facts = flatten_accounts(judged.filter(F.col("status") == "valid"), rules)
     return FilingTables(
         status=judged.select(F.col("file_name").alias("arquivo"), "status", "mensagem"),
@@ -69,9 +69,9 @@ def run(
     keyed = with_version_keys(documents, unified)
     keys = ("cnpj_key", "base_key", "submission")
     replaced = materialise(replaced_filings(keyed.select(*keys, "path"), order="path"), "replaced")
-    judged = with_status(keyed.drop(*keys), rules)
+    judged = with_status(keyed.drop(*keys), rules, listed=False)
     stage = f"{target}/judged"
-    judged.drop("text", "violations", "readable").write.mode("overwrite").parquet(stage)
+    judged.drop("text", "readable").write.mode("overwrite").parquet(stage)
     stored = spark.read.parquet(stage)
     status = without_replaced(stored.select("path", F.col("file_name").alias("arquivo"), "status", "mensagem"), replaced)
     sinks.write_csv(status, f"{target}/runtime_log")

@@ -5,8 +5,8 @@ from random import Random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.bindings import panels
-from ledgerloom.operators import flatten, history
+from ledgerloom.bindings import inputs, panels
+from ledgerloom.operators import contract, flatten, history
 from ledgerloom.operators.history import history_payload
 from ledgerloom.sources import tables
 from tests.compare import driver
@@ -83,3 +83,30 @@ def test_headers_of_institutions_are_read_once(spark, monkeypatch):
     read, scan = [], tables.csv_headers
     monkeypatch.setattr(tables, "csv_headers", lambda *a, **k: read.append(a) or scan(*a, **k))
     assert panels.truth_reasons(spark, SF).columns and len(read) == 1
+
+
+def test_the_first_broken_rule_settles_the_status(spark):
+    """Statuses are those of the full list of violations, of which only the start is made."""
+    variants = inputs.filing_variants(spark, SF).limit(500)
+    rules = {"202412": ["A122024"]}
+    quick, full = (contract.with_status(variants, rules, listed=listed) for listed in (False, True))
+    told = lambda judged: sorted((r.doc_id, r.variant, r.status, r.mensagem) for r in judged.collect())
+    assert told(quick) == told(full)
+    assert len({(v, s) for _, v, s, _ in told(full)}) == len(inputs.FILING_VARIANTS)
+    assert "violations" not in quick.columns
+    # blocks are read with typed leaves only where the names and the header broke no rule
+    leaves = next(line for line in physical(quick).splitlines() if "Generate" in line and "__l#" in line)
+    assert "size(__first" in leaves
+
+
+def test_filings_are_put_together_without_structs(spark):
+    """Same texts as a nested struct turned into JSON gave; null and odd amounts included."""
+    texts = inputs.filing_texts(spark, SF)
+    assert "to_json" not in physical(texts)
+    for row in texts.limit(300).collect():
+        cut = row.text.endswith("]")
+        doc = json.loads(row.text + "}}" if cut else row.text)
+        assert json.dumps(doc, separators=(",", ":"), ensure_ascii=False)[: -2 if cut else None] == row.text
+    value = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (float("-inf"),)], "v double")
+    made = [r[0] for r in value.select(inputs._value("dt1", F.col("v"))).collect()]
+    assert made == ['{"@dtBase":"dt1","@valor":1.0}', '{"@dtBase":"dt1"}', '{"@dtBase":"dt1","@valor":"NaN"}', '{"@dtBase":"dt1","@valor":"-Infinity"}']
