@@ -1,5 +1,6 @@
 """What must not grow faster than the input: widths of exchanges, passes, and files."""
 
+import gzip
 import json
 from random import Random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.bindings import inputs, panels
 from ledgerloom.operators import contract, flatten, history
 from ledgerloom.operators.history import history_payload
+from ledgerloom.session import LISTING
 from ledgerloom.sources import tables
 from tests.compare import driver
 from tests.test_plans import SF, physical
@@ -110,3 +112,39 @@ def test_filings_are_put_together_without_structs(spark):
     value = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (float("-inf"),)], "v double")
     made = [r[0] for r in value.select(inputs._value("dt1", F.col("v"))).collect()]
     assert made == ['{"@dtBase":"dt1","@valor":1.0}', '{"@dtBase":"dt1"}', '{"@dtBase":"dt1","@valor":"NaN"}', '{"@dtBase":"dt1","@valor":"-Infinity"}']
+
+
+def _tasks(spark, group, job):
+    """What a job gives, and the most tasks that any of its stages had."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got, tracker = job(), spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+        return got, max(tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if tracker.getStageInfo(s))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_folder_per_institution_is_no_task_each(spark, tmp_path):
+    """Folders are listed by a few tasks per core, and the session's own setting holds afterwards."""
+    before, folders = spark.conf.get(LISTING), 150
+    for i in range(folders):
+        (tmp_path / f"inst={i:08}").mkdir()
+        (tmp_path / f"inst={i:08}" / "part-0.csv").write_text(f"Semestre_Ref;CNPJ8\n2024-S1;{i:08}\n")
+    found, most = _tasks(spark, "listing", lambda: tables.discover_panels(spark, str(tmp_path)).collect())
+    assert {r.CNPJ8 for r in found} == {f"{i:08}" for i in range(folders)}
+    assert most < folders
+    assert spark.conf.get(LISTING) == before
+
+
+def test_small_files_get_a_small_parser(spark, tmp_path):
+    """The parser sets as many places up for each file as a record may have columns, so their number follows the files."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "small.csv").write_text("x;y\n1;2\n")
+    assert tables._columns_within(spark, str(tmp_path / "a"), False) == tables.USUAL_COLUMNS
+    n = tables.USUAL_COLUMNS + 5
+    (tmp_path / "a" / "wide.csv").write_text("x" + ";" * (n - 1) + "\n3" + ";" * (n - 1) + "\n")
+    got = tables.csv_typed_scan(spark, str(tmp_path / "a"), "x int", ";")
+    assert sorted(r.x for r in got.collect()) == [1, 3]
+    (tmp_path / "a" / "small.csv.gz").write_bytes(gzip.compress(b"x\n4\n"))
+    assert tables._columns_within(spark, str(tmp_path / "a"), False) == tables.MOST_COLUMNS
