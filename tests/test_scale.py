@@ -6,6 +6,7 @@ from random import Random
 
 from pyspark.sql import functions as F
 
+from ledgerloom import sinks
 from ledgerloom.bindings import inputs, panels
 from ledgerloom.operators import contract, flatten, history
 from ledgerloom.operators.history import history_payload
@@ -137,6 +138,16 @@ def test_a_folder_per_institution_is_no_task_each(spark, tmp_path):
     assert spark.conf.get(LISTING) == before
 
 
+def test_extractions_of_many_institutions_are_listed_by_few_tasks(spark, tmp_path):
+    n = 150
+    texts = spark.range(n).selectExpr("lpad(id, 8, '0') AS CNPJ8", "concat(id, '.json') AS file_name", "concat('[{\"a\": ', id, '}]') AS text")
+    sinks.write_extractions(texts, str(tmp_path / "x"))
+    found, most = _tasks(spark, "extractions", lambda: tables.stored_extractions(spark, str(tmp_path / "x")).select(
+        "CNPJ8", "file_name", F.try_variant_get("record", "$.a", "int").alias("a")).collect())
+    assert {tuple(r) for r in found} == {(f"{i:08}", f"{i}.json", i) for i in range(n)}
+    assert most < n
+
+
 def test_small_files_get_a_small_parser(spark, tmp_path):
     """The parser sets as many places up for each file as a record may have columns, so their number follows the files."""
     (tmp_path / "a").mkdir()
