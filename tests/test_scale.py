@@ -4,6 +4,7 @@ import gzip
 import json
 from random import Random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import sinks
@@ -159,3 +160,43 @@ def test_small_files_get_a_small_parser(spark, tmp_path):
     assert sorted(r.x for r in got.collect()) == [1, 3]
     (tmp_path / "a" / "small.csv.gz").write_bytes(gzip.compress(b"x\n4\n"))
     assert tables._columns_within(spark, str(tmp_path / "a"), False) == tables.MOST_COLUMNS
+
+
+def _forks():
+    """Processes and threads started since the machine was."""
+    return next(int(line.split()[1]) for line in open("/proc/stat") if line.startswith("processes"))
+
+
+def test_a_file_per_institution_is_no_process_each(spark, tmp_path):
+    n = 400
+    panel = spark.range(n).selectExpr("'2024-S1' AS Semestre_Ref", "2024 AS Ano", "6 AS Mes", "lpad(id, 8, '0') AS CNPJ8")
+    sinks.write_panel(panel, str(tmp_path / "warm"))
+    before = _forks()
+    sinks.write_panel(panel, str(tmp_path / "panel"))
+    assert _forks() - before < n
+    assert tables.discover_panels(spark, str(tmp_path / "panel")).select("CNPJ8").distinct().count() == n
+
+
+def test_files_per_institution_are_those_of_sparks_writer(spark, tmp_path):
+    """Odd names of folders, nulls, quotes, line breaks and numbers; what was there before is replaced."""
+    texts = [' x "q"; y\nz ', "", None, "a;b", "\r\nq", "\\", "#c"]
+    keys = ["00000001", "a/b=c:d", "é x%{}", None, "", "tab\t\\q'\"^"]
+    rows = [(k, i, t, float("nan") if i == 3 else i / 3) for k in keys for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, 'inst string, Ano int, `﻿A;"b` string, `v.x` double')
+    table = table.repartition(3, "inst").sortWithinPartitions("inst", "Ano")
+    made, expected = tmp_path / "made", tmp_path / "expected"
+    sinks.write_folders(table.limit(5), "inst", str(made), ";")
+    sinks.write_folders(table, "inst", str(made), ";")
+    sinks._csv_writer(table.write, ";").partitionBy("inst").csv(str(expected))
+    files = lambda root: {(str(p.parent.relative_to(root)), p.name[:6]): p.read_bytes() for p in root.rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert files(made) == files(expected) and len(files(made)) == 6
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["expected", "made"]
+
+
+def test_a_job_that_fails_leaves_the_files_that_were_there(spark, tmp_path):
+    table = spark.createDataFrame([("1", "a")], "inst string, x string")
+    sinks.write_folders(table, "inst", str(tmp_path / "t"), ";")
+    with pytest.raises(Exception, match="stopped"):
+        sinks.write_folders(table.withColumn("x", F.raise_error(F.lit("stopped"))), "inst", str(tmp_path / "t"), ";")
+    assert [p.read_text() for p in tmp_path.rglob("part-*.csv")] == ["x\na\n"]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
