@@ -200,3 +200,28 @@ def test_a_job_that_fails_leaves_the_files_that_were_there(spark, tmp_path):
         sinks.write_folders(table.withColumn("x", F.raise_error(F.lit("stopped"))), "inst", str(tmp_path / "t"), ";")
     assert [p.read_text() for p in tmp_path.rglob("part-*.csv")] == ["x\na\n"]
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_an_institution_is_one_file_however_many_there_are(spark, tmp_path):
+    """Rows of an institution come from several tasks; parts small enough not to be split keep them in one file."""
+    columns = "'2024-S1' AS Semestre_Ref", "2000 + id % 8 AS Ano", "6 AS Mes", "lpad(id div 8, 8, '0') AS CNPJ8", "repeat(uuid(), 20) AS x"
+    panel = spark.range(16_000).repartition(8).selectExpr(*columns)
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(advised, "100k")
+    try:
+        sinks.write_panel(panel, str(tmp_path / "panel"))
+    finally:
+        spark.conf.unset(advised)
+    files = [p.parent.name for p in (tmp_path / "panel").rglob("*.csv")]
+    assert len(files) == len(set(files)) == 2_000
+
+
+def test_files_are_not_listed_again_for_their_sizes(spark, tmp_path, monkeypatch):
+    """Where headers are at hand, they tell how large files are."""
+    sinks.write_panel(spark.sql("SELECT '2024-S1' AS Semestre_Ref, 2024 AS Ano, 6 AS Mes, '00000001' AS CNPJ8, 1.5 AS Contas__Lucro_Liquido"), str(tmp_path / "p"))
+    headers = tables.institution_headers(spark, str(tmp_path / "p"))
+    size = next((tmp_path / "p").rglob("*.csv")).stat().st_size
+    assert [r.length for r in headers.collect()] == [size]
+    monkeypatch.setattr(tables, "_sizes_within", None)
+    assert tables.truth_scan(spark, str(tmp_path / "p"), headers).first()["Contas__Lucro_Liquido"] == 1.5
+    assert tables.truth_files(spark, str(tmp_path / "p"), headers).first()["problema"] is None
